@@ -6,9 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.missing import code, coordinates, count_value, date_value, id_value, text_value
-from tidewatch.llm import components, encode, leaks, survivor
+from tidewatch.llm import components, encode, leaks, linkage, survivor
 from tidewatch.session import table
 
+# --- problem 2 -------------------------------------------------------------------------------------------------------
+
+
+def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Candidate pairs with the confidence that soft logic gives them."""
+    pairs = linkage.match(table(spark, d, "alert_events"), table(spark, d, "canonical_events"))
+    return pairs.select("a_id", "e_id", F.round("confidence", 4).alias("confidence"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = linkage.match(table(spark, d, "alert_events"), table(spark, d, "canonical_events"))
+    pairs = pairs.where(F.col("confidence") >= linkage.THRESHOLD)
+    return pairs.select(F.least("a_id", "e_id").alias("key_lo"), F.greatest("a_id", "e_id").alias("key_hi")).distinct()
+
+
 # --- problem 3 -------------------------------------------------------------------------------------------------------
 
 
@@ -126,6 +141,8 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_pairs": p2_pairs,
     "p3_found": p3_found,
     "p5_found": p5_found,
     "p5_truth": p5_truth,
