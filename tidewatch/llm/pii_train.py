@@ -44,9 +44,9 @@ IDS = (
 _STREET = r"(?:Street|St|Road|Rd|Lane|Close|Avenue|Ave\.|Drive|Court)"
 ADDRESSES = (
     rf"(?:Flat \d+, )?\d+[A-Z]? (?:[A-Z][a-z]+ ){{1,2}}{_STREET}(?![a-z])",
-    r"\d+(?: bis| ter)?,? (?:rue|chemin|avenue|impasse|place|allée) (?:d[eu]s? |du |de la |de l')?[A-ZÉ][\w-]+(?: [A-ZÉ][\w-]+)?",
-    r"(?:Calle|Camino|Plaza|Avenida|Paseo) (?:de(?:l| los| las| la)? )?[A-Z][\w-]+(?: [A-Z][\w-]+)? (?:n\.º )?\d+",
-    r"[A-ZÄÖÜ][\wäöüß-]*(?:straße|str\.|weg|gasse|platz|allee|ring|damm) \d+[a-z]?\b|(?:Am|An der|Zum|Im|Auf dem) [A-ZÄÖÜ][\wäöüß-]+(?: [A-ZÄÖÜ][\wäöüß-]+)? \d+[a-z]?\b",
+    r"\d+(?: bis| ter)?,? (?:rue|chemin|avenue|impasse|place|allée|quai|route|boulevard) (?:d[eu]s? |du |de la |de l')?[A-ZÉ][\w-]+(?: [A-ZÉ][\w-]+)?",
+    r"(?:Calle|Camino|Plaza|Avenida|Avda\.|Paseo) (?:de(?:l| los| las| la)? )?[A-Z][\w-]+(?: [A-Z][\w-]+)? (?:n\.º )?\d+",
+    r"(?:Obere |Untere |Alte |Neue )?[A-ZÄÖÜ][\wäöüß-]*(?:straße|str\.|weg|gasse|platz|allee|ring|damm|kamp|gasse) \d+[a-z]?\b|(?:Am|An der|Zum|Im|Auf dem) [A-ZÄÖÜ][\wäöüß-]+(?: [A-ZÄÖÜ][\wäöüß-]+)? \d+[a-z]?\b",
 )
 _AT = r"(?: ?[@\uff20] ?| ?[\[(]at[\])] ?| at )"
 _DOT = r"(?:\.| ?[\[(]dot[\])] ?| dot )"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.missing import code, coordinates, count_value, date_value, id_value, text_value
-from tidewatch.llm import components, encode, leaks, linkage, survivor
+from tidewatch.llm import components, encode, leaks, linkage, pii, survivor
 from tidewatch.session import table
 
 # --- problem 2 -------------------------------------------------------------------------------------------------------
@@ -140,7 +140,21 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return leaks.remove_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "item_id")
 
 
+# --- problem 10 ------------------------------------------------------------------------------------------------------
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(table(spark, d, "documents"))
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its personal information replaced by typed placeholders."""
+    return pii.redact(table(spark, d, "documents"))
+
+
 QUERIES = {
+    "p10_found": p10_found,
+    "p10_redacted": p10_redacted,
     "p2_found": p2_found,
     "p2_pairs": p2_pairs,
     "p3_found": p3_found,
