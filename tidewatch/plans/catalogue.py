@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import core
+from tidewatch.plans import analytics, asof, core, streams
 
-_MODULES = (core,)
+_MODULES = (core, asof, analytics, streams)
 
 
 def queries() -> dict:
@@ -16,4 +16,5 @@ def oracle_sql() -> dict:
 
 
 def flagship(spark, sf_dir):
-    return core.p1_weekly(spark, sf_dir)
+    """Entities by visible activity and reporting gap at the as-of date, the most urgent first."""
+    return analytics.attention_list(spark, sf_dir)
