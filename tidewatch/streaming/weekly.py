@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 def weekly_counts(stream: DataFrame, time: str = "ts", lateness: str = "42 days") -> DataFrame:
     """Counts per event type and Monday week (the epoch was a Thursday: windows start four days later)."""
     w = F.window(time, "7 days", "7 days", "4 days")
+    stream = stream.withColumn(time, F.col(time).cast("timestamp"))
     return stream.withWatermark(time, lateness).groupBy("event_type", w).agg(F.count("*").alias("n")).select("event_type", F.col("window.start").cast("date").alias("week"), "n")
 
 
 def sessions(stream: DataFrame, time: str = "ts", gap: str = "1 day", lateness: str = "42 days") -> DataFrame:
     """Sessions per user, closed by a quiet gap."""
     w = F.session_window(time, gap)
+    stream = stream.withColumn(time, F.col(time).cast("timestamp"))
     return stream.withWatermark(time, lateness).groupBy("user_id", w).agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
