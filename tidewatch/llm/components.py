@@ -3,9 +3,9 @@
 Vertices are hashed into blocks; an edge belongs to the cell (block of one end, block of the other). Every cell runs a
 local union-find over its edges - a cell may be split over several tasks, because union-find on any part of the edges
 is sound - and reports a representative for each vertex it saw. A vertex then exchanges the representatives it got
-along its row and its column: the smallest becomes its parent, and the others are tied to that one. Those ties are the
-edges of the next, much smaller round. Rounds end when no vertex has two different representatives; the parents of all
-rounds are composed afterwards. No link, component or vertex set ever reaches the driver; only row counts do.
+along its row and its column: the smallest becomes its parent, parents of parents are taken a few times, and parents that a vertex's representatives
+have in different places are tied. Those ties are the edges of the next, much smaller round. Rounds end when nothing is
+left to tie; the parents of all rounds are composed afterwards. No link, component or vertex set ever reaches the driver; only row counts do.
 
 Defined cases: null ends and self loops tie nothing (a self loop alone makes no group); repeated and mirrored edges
 count once; the representative is the smallest vertex in string order; an empty input gives no rows.
@@ -26,6 +26,8 @@ from tidewatch.session import checkpointed
 EDGES_PER_CELL = 1_000_000
 #: Arrow rows that a task joins to its union-find at once.
 CHUNK = 200_000
+#: Doublings of the parent pointers in a round.
+JUMPS = 3
 
 
 def _smallest_reps(left: np.ndarray, right: np.ndarray, n: int, parent: np.ndarray) -> np.ndarray:
@@ -96,14 +98,17 @@ def connected_components(edges: DataFrame, u: str, v: str, blocks: int | None =
         else:
             cells = cells.repartition(tasks, "row", "column")
         stars = checkpointed(cells.select("u", "v").mapInPandas(_local, "v string, rep string"))
-        parents = checkpointed(stars.groupBy("v").agg(F.min("rep").alias("parent"), F.max("rep").alias("other")))
-        rounds.append(parents.select("v", "parent"))
-        # ties between the representatives a vertex got from its row and its column
-        split = parents.where(F.col("parent") != F.col("other")).select("v", "parent")
-        current = checkpointed(
-            stars.join(split, "v").where(F.col("rep") != F.col("parent"))
-            .select(F.col("parent").alias("u"), F.col("rep").alias("v")).distinct()
-        )
+        if tasks == 1:
+            rounds.append(stars.select("v", F.col("rep").alias("parent")))
+            break
+        parents = stars.groupBy("v").agg(F.min("rep").alias("parent"))
+        for _ in range(JUMPS):  # parents of parents: a path of representatives shrinks by 2 ** JUMPS a round
+            above = parents.select(F.col("v").alias("parent"), F.col("parent").alias("above"))
+            parents = checkpointed(parents.join(above, "parent").select("v", F.col("above").alias("parent")))
+        rounds.append(parents)
+        # what a vertex was told by its row and its column is tied, by the parents of both ends
+        ends = stars.join(parents.withColumnRenamed("parent", "p"), "v").join(parents.select(F.col("v").alias("rep"), F.col("parent").alias("q")), "rep")
+        current = checkpointed(ends.where("p != q").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct())
         total = current.count()
     if not rounds:
         return spark.createDataFrame([], "vertex string, component string")
