@@ -45,6 +45,13 @@ def id_value(column: Column) -> Column:
     return F.when(plain.rlike("[0-9]") & ~plain.rlike("^0+$") & ~F.lower(plain).isin(*FILLERS), plain)
 
 
+def group_value(column: Column) -> Column:
+    """A group id of an earlier run in comparable form, or null; a number part of zeros alone (CE-00000000) is a stand-in
+    here, while a record's own id may be numbered zero."""
+    plain = id_value(column)
+    return F.when(~plain.rlike("^[^0-9]*0+$"), plain)
+
+
 def coordinates(latitude: Column, longitude: Column) -> tuple[Column, Column]:
     """The pair, or nulls: both must be present and possible, and (0, 0) is a stand-in."""
     good = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions.missing import code, coordinates, count_value, date_value, id_value, text_value
+from tidewatch.functions.missing import code, coordinates, count_value, date_value, group_value, id_value, text_value
 from tidewatch.llm import components, encode, leaks, linkage, pii, survivor
 from tidewatch.session import table
 
@@ -35,7 +35,7 @@ def _bare(column):
 def event_links(spark: SparkSession, d: str) -> DataFrame:
     """Edges (u, v): events and the hub of their canonical id, events and the event they cite, accepted matches."""
     events = table(spark, d, "canonical_events").select(
-        id_value(F.col("event_id")).alias("id"), id_value(F.col("canonical_event_id")).alias("ce"), _bare(F.col("source_event_id")).alias("cited")
+        id_value(F.col("event_id")).alias("id"), group_value(F.col("canonical_event_id")).alias("ce"), _bare(F.col("source_event_id")).alias("cited")
     ).where(F.col("id").isNotNull())
     known = events.select("id").distinct()
     # hubs sort after every id, so the smallest vertex of a group is always an event
@@ -79,7 +79,7 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     )
     lat, lon = coordinates(F.col("latitude"), F.col("longitude"))
     events = table(spark, d, "canonical_events").select(
-        id_value(F.col("canonical_event_id")).alias("canonical_event_id"),
+        group_value(F.col("canonical_event_id")).alias("canonical_event_id"),
         F.trim("event_id").alias("event_id"),
         # events without an entry get a key of their own, or all of them would meet in one task
         F.coalesce(id_value(F.col("provenance_id")), F.concat(F.lit("\uffff"), "event_id")).alias("entry"),
