@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.missing import group_value, id_value
 from tidewatch.llm import linkage
 from tidewatch.llm import queries as llm
+from tidewatch.plans import core
 
 D = dt.date
 
@@ -80,3 +81,16 @@ def test_linkage_chunks_keep_left_records_whole(monkeypatch):
     split = pd.concat(linkage._solved(iter([part[:3], part[3:3], part[3:6], part[6:]])), ignore_index=True)
     assert split.equals(whole) and whole["confidence"].tolist() == pytest.approx([0.25] * 12, abs=1e-5)
     assert list(linkage._solved(iter([]))) == []
+
+
+def test_rolling_covers_every_signal(spark, tmp_path):
+    data = [
+        ("1", " news_article_count", 4.0, D(2022, 1, 3)), ("2", "News_Article_Count", 2.0, D(2022, 1, 5)), ("3", "beacon_signal_strength", -0.25, D(2022, 1, 3)),
+        ("4", "beacon_signal_strength", -999.0, D(2022, 1, 4)), ("5", "healthmap_alert_count", 7.0, D(2022, 1, 4)), ("6", "healthmap_alert_count", -0.5, D(2022, 1, 9)), ("7", "n/a", 1.0, D(2022, 1, 9)),
+    ]
+    rows = [(f"S{i}", n, v, "qaa", "hpai", day, day) for i, n, v, day in data]
+    d = write(spark, tmp_path, signal_records=(rows, "signal_id string, signal_name string, value double, country_iso3 string, disease string, reference_date date, available_from date"))
+    got = {(r["entity_key"], r["day"].day): (r["total_7"], r["total_30"]) for r in core.p7_rolling(spark, d).collect()}
+    news, strength, alerts = (f"QAA|HPAI|{n}" for n in ("news_article_count", "beacon_signal_strength", "healthmap_alert_count"))
+    assert got == {(news, 3): (4.0, 4.0), (news, 4): (4.0, 4.0), (news, 5): (6.0, 6.0), (strength, 3): (-0.25, -0.25), (alerts, 4): (7.0, 7.0)}
+    assert {r["entity_key"] for r in core.p7_found(spark, d).collect()} == {"QAA|HPAI"}

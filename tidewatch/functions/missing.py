@@ -17,6 +17,9 @@ FILLERS = (
 #: Dates outside this range are epoch or end-of-time stand-ins (1899-12-30, 1970-01-01, 2099-12-31, 9999-12-31 ...).
 FIRST_DATE, LAST_DATE = "1970-01-02", "2099-12-30"
 
+#: Numbers that stand for a missing value where negative ones are possible.
+NO_SCORE = (-1.0, -9.0, -99.0, -999.0, -9999.0)
+
 
 def code(column: Column) -> Column:
     """Ids, codes and labels: letter case and outer blanks never make them different."""
@@ -39,6 +42,12 @@ def count_value(column: Column) -> Column:
     return F.when(~F.isnan(as_double) & (as_double >= 0), column)
 
 
+def score_value(column: Column) -> Column:
+    """A score, which may be negative, or null where it is NaN or one of the numbers written for a missing one."""
+    as_double = column.cast("double")
+    return F.when(~F.isnan(as_double) & ~as_double.isin(*NO_SCORE), column)
+
+
 def id_value(column: Column) -> Column:
     """An id in comparable form, or null: fillers, placeholders without a digit and a bare zero are stand-ins."""
     plain = code(column)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.functions.missing import code, count_value, date_value, id_value
+from tidewatch.functions.missing import code, count_value, date_value, id_value, score_value, text_value
 from tidewatch.operators import late, rolling, units, versions
 from tidewatch.session import table
 
@@ -107,16 +107,22 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 # --- problem 7 -------------------------------------------------------------------------------------------------------
 
 
-def media_days(spark: SparkSession, d: str, signal: str = "news_article_count") -> DataFrame:
-    """Daily amounts of one signal per entity; each signal counts once, with its latest delivery."""
+def signal_days(spark: SparkSession, d: str, signal: str | None = None) -> DataFrame:
+    """Daily amounts per entity of one signal, or, without one, per entity and signal (entity_key ends with its name);
+    each signal record counts once, with its latest delivery. Signals that aren't counts may be negative."""
+    name = F.lower(text_value(F.col("signal_name")))
+    kept = F.when(name.endswith("_count"), count_value(F.col("value"))).otherwise(score_value(F.col("value")))
+    entity = entity_of()
+    if signal is None:
+        entity = F.when(entity.isNotNull() & name.isNotNull(), F.concat_ws("|", entity, name))
     rows = (
         table(spark, d, "signal_records")
-        .where(F.lower(F.trim("signal_name")) == signal)
+        .where(F.lit(True) if signal is None else name == signal)
         .select(
             id_value(F.col("signal_id")).alias("signal_key"),
             date_value(F.col("available_from")).alias("available_from"),
-            F.nanvl(count_value(F.col("value")), F.lit(None).cast("double")).alias("value"),
-            entity_of().alias("entity"),
+            F.nanvl(kept, F.lit(None).cast("double")).alias("value"),
+            entity.alias("entity"),
             date_value(F.col("reference_date")).alias("day"),
         )
         .where(F.col("signal_key").isNotNull())
@@ -126,7 +132,8 @@ def media_days(spark: SparkSession, d: str, signal: str = "news_article_count")
 
 
 def p7_rolling(spark: SparkSession, d: str) -> DataFrame:
-    state = rolling.rolling_state(media_days(spark, d))
+    """Trailing totals and averages of every signal; entity_key is country|disease|signal_name."""
+    state = rolling.rolling_state(signal_days(spark, d))
     return state.select(
         "entity_key",
         "day",
@@ -138,8 +145,8 @@ def p7_rolling(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """Days on which twice the 7-day total exceeds the 30-day total."""
-    state = rolling.rolling_state(media_days(spark, d))
+    """Days on which twice the 7-day total of news_article_count exceeds its 30-day total."""
+    state = rolling.rolling_state(signal_days(spark, d, "news_article_count"))
     return state.where(F.col("total_7") * 2 > F.col("total_30")).select("entity_key", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
