@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.missing import group_value, id_value
 from tidewatch.llm import linkage
 from tidewatch.llm import queries as llm
-from tidewatch.plans import core
+from tidewatch.plans import asof, core
 
 D = dt.date
 
@@ -94,3 +94,16 @@ def test_rolling_covers_every_signal(spark, tmp_path):
     news, strength, alerts = (f"QAA|HPAI|{n}" for n in ("news_article_count", "beacon_signal_strength", "healthmap_alert_count"))
     assert got == {(news, 3): (4.0, 4.0), (news, 4): (4.0, 4.0), (news, 5): (6.0, 6.0), (strength, 3): (-0.25, -0.25), (alerts, 4): (7.0, 7.0)}
     assert {r["entity_key"] for r in core.p7_found(spark, d).collect()} == {"QAA|HPAI"}
+
+
+def test_store_reads_take_every_feature(spark, tmp_path):
+    names = ["news_article_count", "beacon_signal_strength", "healthmap_alert_count", "one_more"]
+    day, known = D(2024, 11, 25), D(2024, 11, 28)
+    rows = [(f"S{i}", n, float(i), None, f"q{i}", "hpai", "src", 1.0, day, known) for i, n in enumerate(names)]
+    d = write(spark, tmp_path, signal_records=(rows, "signal_id string, signal_name string, value double, denominator double, country_iso3 string, disease string, source_name string, reliability double, reference_date date, available_from date"))
+    assert {r["feature"] for r in asof.store_asof_long(spark, d).collect()} == set(names)
+    panel = {r["entity_key"]: r.asDict() for r in asof.store_panel(spark, d).collect()}
+    assert {k: r[n] for (k, r), n in zip(sorted(panel.items()), names, strict=True)} == {f"Q{i}|HPAI": float(i) for i in range(4)}
+    assert panel["Q3|HPAI"]["one_more_staleness_weeks"] == 1 and panel["Q3|HPAI"]["one_more_lag1"] == 3.0
+    empty = write(spark, tmp_path / "empty", signal_records=(spark.read.parquet(f"{d}/signal_records.parquet").limit(0).collect(), spark.read.parquet(f"{d}/signal_records.parquet").schema))
+    assert asof.store_panel(spark, empty).count() == 0

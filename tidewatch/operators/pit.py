@@ -81,11 +81,14 @@ def many_as_of(daily: DataFrame, grid_dates: DataFrame, weeks_back: int = 4) ->
     return hit.groupBy("entity_key", "as_of").agg(F.sum("outbreaks").alias("activity"))
 
 
-def panel_as_of(store: DataFrame, as_of: str, features: Sequence[str], lags: Sequence[int] = (1, 4), max_staleness_weeks: int = 12) -> DataFrame:
+def panel_as_of(store: DataFrame, as_of: str, features: Sequence[str] | None = None, lags: Sequence[int] = (1, 4), max_staleness_weeks: int = 12) -> DataFrame:
     """Wide row per entity: the latest usable value of each feature, its age in weeks, and published lagged values.
 
-    One filter, one latest-revision aggregate, one conditional aggregate with the features named: no pivot discovery.
+    One filter, one latest-revision aggregate, one conditional aggregate with the features named. Without ``features`` all
+    features of the store take part; then their names, a few, are read first.
     """
+    if features is None:
+        features = sorted(r[0] for r in store.select("feature").where(F.col("feature").isNotNull()).distinct().collect())
     now = F.date_trunc("week", day(as_of)).cast("date")
     seen = filter_as_of(store, as_of).where((F.col("feature").isin(*features)) & (F.col("week") <= now) & (F.col("week") >= F.date_sub(now, 7 * max_staleness_weeks)))
     cells = seen.groupBy("entity_key", "week", "feature").agg(F.max_by("value", F.struct("available_from", "value")).alias("value"))
@@ -94,7 +97,8 @@ def panel_as_of(store: DataFrame, as_of: str, features: Sequence[str], lags: Seq
         is_f = F.col("feature") == f
         columns += [F.max_by(F.when(is_f, F.col("value")), F.when(is_f, F.col("week"))).alias(f), (F.datediff(now, F.max(F.when(is_f, F.col("week")))) / 7).cast("int").alias(f"{f}_staleness_weeks")]
         columns += [F.max(F.when(is_f & (F.col("week") == F.date_sub(now, 7 * k)), F.col("value"))).alias(f"{f}_lag{k}") for k in lags]
-    return cells.groupBy("entity_key").agg(*columns)
+    # a store without features has no cells
+    return cells.groupBy("entity_key").agg(*columns) if columns else cells.select("entity_key").distinct()
 
 
 def first_crossing(scores: DataFrame, events: DataFrame, threshold: float) -> DataFrame:

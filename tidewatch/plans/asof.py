@@ -15,6 +15,7 @@ QUERIES, ORACLE, query = registry()
 AS_OF = "2022-06-06"
 #: The media signals cover a shorter history.
 MEDIA_AS_OF = "2024-12-02"
+#: The SQL of store_asof_long and store_panel names these; the queries take all features of the store.
 FEATURES = ("news_article_count", "padiweb_event_count", "gdelt_abnormal_volume")
 STORE = T.SIGNALS + """, st AS (SELECT entity_key, week, signal_name AS feature, CASE WHEN greatest(available_from, week) IS NULL THEN NULL ELSE greatest(available_from, week) END AS available_from, round(avg(value), 6) AS value FROM sg GROUP BY 1, 2, 3, 4)"""
 
@@ -57,7 +58,7 @@ def store_validate(spark, d):
 
 @query("store_asof_long", f"WITH {STORE} SELECT * FROM st WHERE available_from <= DATE '{MEDIA_AS_OF}' AND week <= DATE '{MEDIA_AS_OF}' AND week >= DATE '{MEDIA_AS_OF}' - 56 AND feature IN {FEATURES}")
 def store_asof_long(spark, d):
-    s = pit.filter_as_of(store(spark, d), MEDIA_AS_OF).where(F.col("feature").isin(*FEATURES))
+    s = pit.filter_as_of(store(spark, d), MEDIA_AS_OF)
     return s.where((F.col("week") <= pit.day(MEDIA_AS_OF)) & (F.col("week") >= F.date_sub(pit.day(MEDIA_AS_OF), 56))).select("entity_key", "week", "feature", "available_from", "value")
 
 
@@ -76,7 +77,7 @@ _PANEL = ", ".join(
 @query("store_panel", f"""WITH {STORE}, c AS (SELECT entity_key, week, feature, arg_max(value, struct_pack(a := available_from, v := value)) AS value FROM st WHERE available_from <= DATE '{MEDIA_AS_OF}' AND week <= DATE '{MEDIA_AS_OF}' AND week >= DATE '{MEDIA_AS_OF}' - 84 AND feature IN {FEATURES} GROUP BY 1, 2, 3)
 SELECT entity_key, {_PANEL} FROM c GROUP BY 1""")
 def store_panel(spark, d):
-    return pit.panel_as_of(store(spark, d), MEDIA_AS_OF, FEATURES)
+    return pit.panel_as_of(store(spark, d), MEDIA_AS_OF)
 
 
 @query("availability_profile", f"WITH {T.SIGNALS} SELECT signal_name AS feature, median(available_from - reference_date) AS median_lag, max(available_from - reference_date) AS max_lag, count(*) AS n FROM sg GROUP BY 1")
