@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.missing import group_value, id_value
 from tidewatch.llm import linkage
 from tidewatch.llm import queries as llm
+from tidewatch.operators import decide
 from tidewatch.plans import asof, core
 
 D = dt.date
@@ -107,3 +108,27 @@ def test_store_reads_take_every_feature(spark, tmp_path):
     assert panel["Q3|HPAI"]["one_more_staleness_weeks"] == 1 and panel["Q3|HPAI"]["one_more_lag1"] == 3.0
     empty = write(spark, tmp_path / "empty", signal_records=(spark.read.parquet(f"{d}/signal_records.parquet").limit(0).collect(), spark.read.parquet(f"{d}/signal_records.parquet").schema))
     assert asof.store_panel(spark, empty).count() == 0
+
+
+def test_lead_time_by_episode_with_its_report(spark, tmp_path):
+    day = lambda n: D(2022, 1, 3) + dt.timedelta(n)  # noqa: E731, a Monday and the days after it
+    found = [("a", 1, day(30)), ("a", 2, day(200)), ("b", 1, day(10)), ("c", 1, day(10)), ("d", 1, day(7))]
+    scores = [("a", day(7), 0.1), ("a", day(14), 0.4), ("a", day(21), 0.9), ("b", day(7), 0.39), ("b", day(14), 0.9), ("d", day(7), 0.9), ("d", day(0), 0.5)]
+    out = asof.with_lead_time(spark.createDataFrame(found, "entity_key string, episode int, first_date date"), spark.createDataFrame(scores, "entity_key string, as_of date, p double"))
+    rows = {(r["entity_key"], r["episode"]): r for r in out.collect()}
+    assert {k: (r["first_alert"], r["lead_days"], r["detected"]) for k, r in rows.items()} == {
+        ("a", 1): (day(14), 16, True), ("a", 2): (day(14), 186, True), ("b", 1): (None, None, False), ("c", 1): (None, None, False), ("d", 1): (day(0), 7, True)
+    }
+    leads = [7, 16, 186]
+    for r in rows.values():
+        assert (r["n_episodes"], r["n_detected"], r["detection_rate"]) == (5, 3, pytest.approx(0.6))
+        assert [r["lead_days_p25"], r["lead_days_median"], r["lead_days_p75"]] == pytest.approx(list(np.quantile(leads, [0.25, 0.5, 0.75])))
+        assert r["lead_days_mean"] == pytest.approx(np.mean(leads))
+
+
+def test_lead_time_scores_are_those_of_a_single_date(spark):
+    ev = asof.T.events(spark, "/root/testdata/sf0.001")
+    weekly = asof.weekly_scores(ev).where(F.col("as_of") == F.lit(asof.AS_OF).cast("date"))
+    got = {r["entity_key"]: round(r["p"], 9) for r in weekly.collect()}
+    want = {r["entity_key"]: round(r["p"], 9) for r in decide.scores(ev, asof.AS_OF).collect() if r["p"] > 0}
+    assert got == want and want

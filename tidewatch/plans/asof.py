@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidewatch.functions.missing import code, date_value
-from tidewatch.operators import pit
+from tidewatch.operators import decide, pit
 from tidewatch.plans.registry import registry
-from tidewatch.session import table
+from tidewatch.session import checkpointed, table
 from tidewatch.sources import tables as T
 
 QUERIES, ORACLE, query = registry()
@@ -213,11 +213,42 @@ w AS (SELECT *, CASE WHEN nd - lag(nd) OVER (PARTITION BY entity_key ORDER BY nd
 e AS (SELECT *, sum(new) OVER (PARTITION BY entity_key ORDER BY nd) AS episode FROM w)
 SELECT entity_key, CAST(episode AS BIGINT) AS episode, min(nd) AS first_date, max(nd) AS last_date, count(*) AS n FROM e GROUP BY 1, 2""")
 def lead_time(spark, d):
-    """Episodes of official notifications per entity (quiet gap of 56 days)."""
+    """Lead time by episode of official notifications per entity (quiet gap of 56 days), and the report over all episodes.
+
+    An episode is detected if the score of a week before its first date reached the alert level; lead_days run from the
+    first such week. Every row carries the report: episodes, detected ones and their share, quantiles and mean of lead_days.
+    """
     from tidewatch.operators.series import episodes
 
-    n = T.events(spark, d).where(F.col("notification_date").isNotNull()).select("entity_key", F.col("notification_date").alias("nd")).distinct()
-    return episodes(n, "entity_key", "nd").groupBy("entity_key", "episode").agg(F.min("nd").alias("first_date"), F.max("nd").alias("last_date"), F.count("*").alias("n"))
+    ev = T.events(spark, d)
+    n = ev.where(F.col("notification_date").isNotNull()).select("entity_key", F.col("notification_date").alias("nd")).distinct()
+    found = episodes(n, "entity_key", "nd").groupBy("entity_key", "episode").agg(F.min("nd").alias("first_date"), F.max("nd").alias("last_date"), F.count("*").alias("n"))
+    return with_lead_time(found, weekly_scores(ev))
+
+
+def weekly_scores(ev):
+    """(entity_key, as_of, p): the score of ``decide.scores`` on every Monday of the events' span, left out where it is 0."""
+    first, last = ev.agg(F.date_trunc("week", F.min("reference_date")).cast("date").alias("a"), F.max(F.greatest("available_from", "notification_date")).alias("b")).first()
+    if first is None:
+        return ev.sparkSession.createDataFrame([], "entity_key string, as_of date, p double")
+    grid = pit.grid(ev.sparkSession, str(first), str(last)).select(F.col("as_of").cast("date").alias("as_of"))
+    return pit.many_as_of(ev, grid, 26).select("entity_key", "as_of", (1 - F.exp(-F.col("activity") / 3.0)).alias("p"))
+
+
+def with_lead_time(found, scores):
+    """``found``: episodes with entity_key and first_date."""
+    first = pit.first_crossing(scores, found.select("entity_key", F.col("first_date").alias("event_date")), dict(decide.LEVELS)["ALERT"])
+    cases = checkpointed(
+        found.join(first.withColumnRenamed("event_date", "first_date"), ["entity_key", "first_date"], "left")
+        .withColumn("detected", F.col("first_alert").isNotNull())
+        .withColumn("lead_days", F.datediff("first_date", "first_alert"))
+    )
+    at = lambda q: F.percentile("lead_days", F.lit(q))
+    report = cases.agg(
+        F.count("*").alias("n_episodes"), F.count_if("detected").alias("n_detected"), F.avg(F.col("detected").cast("double")).alias("detection_rate"),
+        at(0.25).alias("lead_days_p25"), at(0.5).alias("lead_days_median"), at(0.75).alias("lead_days_p75"), F.avg("lead_days").alias("lead_days_mean"),
+    )
+    return cases.crossJoin(F.broadcast(report))
 
 
 @query("asof_join", f"""WITH {T.SIGNALS}, {T.EVENTS} SELECT e.event_id, arg_max(s.value, struct_pack(r := s.reference_date, a := s.available_from, i := s.signal_id)) AS last_value FROM ev e JOIN sg s ON s.entity_key = e.entity_key AND s.signal_name = 'beacon_signal_strength' AND s.reference_date <= e.reference_date AND s.available_from <= e.reference_date GROUP BY 1""")
