@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions.missing import group_value, id_value
-from tidewatch.llm import linkage
+from tidewatch.llm import linkage, pii
 from tidewatch.llm import queries as llm
 from tidewatch.operators import decide
 from tidewatch.plans import asof, core
@@ -132,3 +132,16 @@ def test_lead_time_scores_are_those_of_a_single_date(spark):
     got = {r["entity_key"]: round(r["p"], 9) for r in weekly.collect()}
     want = {r["entity_key"]: round(r["p"], 9) for r in decide.scores(ev, asof.AS_OF).collect() if r["p"] > 0}
     assert got == want and want
+
+
+@pytest.mark.parametrize(
+    "found, name",
+    [
+        ("Maria Elena Varnolk Nakorre Ruiz", "Maria Elena Varnolk Nakorre Ruiz"), ("Dr Jorik van der Nakorre", "Jorik van der Nakorre"), ("Hadrel de la Varnolk y Ruiz", "Hadrel de la Varnolk y Ruiz"),
+        ("Frau Lena von Varnolk", "Lena von Varnolk"), ("Hadrel Nakorre de", "Hadrel Nakorre"), ("Hadrel Nakorre on Monday", "Hadrel Nakorre"), ("hadrel nakorre", "hadrel nakorre"),
+    ],
+)
+def test_names_stay_whole(found, name):
+    text = f"Seen: {found}."
+    a, b = pii._name(text, 6, 6 + len(found))
+    assert text[a:b] == name

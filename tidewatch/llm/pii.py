@@ -248,8 +248,16 @@ _TOKEN = re.compile(r"[A-Z]\.|[^\W\d_](?:[^\W\d_]|['\u2019-](?=\w))*")
 _LEAD = {"dr", "mr", "mrs", "ms", "m", "mme", "herr", "frau", "sr", "sra", "selon", "según", "laut", "according", "to", "by", "la", "le", "el", "the", "signed", "contact", "person", "with"}
 
 
+# Small words inside a capitalised name.
+_PARTICLES = {
+    "af", "al", "auf", "av", "bin", "bint", "da", "dal", "das", "de", "degli", "dei", "del", "della", "dem", "den", "der", "des", "di", "do", "dos", "du",
+    "e", "el", "ibn", "la", "las", "le", "les", "los", "ten", "ter", "und", "van", "vom", "von", "y", "zu", "zum", "zur",
+}
+
+
 def _name(text: str, begin: int, end: int) -> tuple[int, int] | None:
-    """The longest run of name words in a found span: capitalised words and initials, or small words throughout."""
+    """The longest run of name words in a found span: capitalised words and initials, with particles between them, or small
+    words throughout."""
     while begin > 0 and text[begin - 1].isalpha() and text[begin].isalpha():
         begin -= 1
     tokens = [m.span() for m in _TOKEN.finditer(text, begin, end)]
@@ -258,19 +266,21 @@ def _name(text: str, begin: int, end: int) -> tuple[int, int] | None:
     runs: list[list[tuple[int, int]]] = []
     for t in tokens:
         big = text[t[0]].isupper()
-        joined = runs and re.fullmatch(r",?[ \u00a0]", text[runs[-1][-1][1] : t[0]]) and text[runs[-1][0][0]].isupper() == big
-        if joined:
+        joined = runs and re.fullmatch(r",?[ \u00a0]", text[runs[-1][-1][1] : t[0]])
+        if joined and text[runs[-1][0][0]].isupper() == big:
             runs[-1].append(t)
+        elif joined and big and len(runs) > 1 and all(text[slice(*x)] in _PARTICLES for x in runs[-1]) and re.fullmatch(r"[ \u00a0]", text[runs[-2][-1][1] : runs[-1][0][0]]):
+            runs[-2:] = [[*runs[-2], *runs[-1], t]]  # a capitalised run, particles, and now a capitalised word
         else:
             runs.append([t])
     if not runs:
         return None
-    run = max(runs, key=lambda r: r[-1][1] - r[0][0])[:3]
+    run = max(runs, key=lambda r: r[-1][1] - r[0][0])
     a, b = run[0][0], run[-1][1]
     # a first name or initial right before, left out by the network
     if before := re.search(r"(?<!\w)(?:[A-Z]\.|[A-Z][a-zà-ÿ]+(?:-[A-Z][a-zà-ÿ]+)?)[ \u00a0]$", text[max(0, a - 24) : a]):
         word = before[0][:-1]
-        if word.lower() not in _LEAD and len(run) < 3 and (word.endswith(".") or text[a : a + 2].endswith(".")):
+        if word.lower() not in _LEAD and (word.endswith(".") or text[a : a + 2].endswith(".")):
             a -= len(before[0])
     alone = len(run) == 1 and "-" not in text[a:b] and " " not in text[a:b]
     if alone and not text[a:b].istitle():

@@ -1,6 +1,6 @@
 """Trains the weights of ``pii``: python -m tidewatch.llm.pii_train DOCUMENTS.parquet [SECONDS]
 
-Labelled spans come from a bounded sample of documents (``SAMPLE`` rows), labelled by the sentence frames that hold
+Labelled spans come from a bounded sample of documents (``SAMPLE`` rows, of each the first 12,000 characters), labelled by the sentence frames that hold
 personal data and by the shapes of numbers, e-mail and street addresses; every labelled sentence is also used with its
 passages exchanged (other made-up names, other digits, other letter case), so that the network learns frames and shapes
 and not the sample's names. Loss: negative log-likelihood of a linear-chain CRF; optimiser: Adam; all in numpy.
