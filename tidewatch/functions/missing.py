@@ -14,6 +14,9 @@ FILLERS = (
     "not specified", "not stated", "null", "tbd", "unk", "unknown", "unspecified", "missing", "x", "xx", "xxx",
 )
 
+#: The same list as SQL text.
+FILLERS_SQL = "(" + ", ".join(f"'{word}'" for word in FILLERS) + ")"
+
 #: Dates outside this range are epoch or end-of-time stand-ins (1899-12-30, 1970-01-01, 2099-12-31, 9999-12-31 ...).
 FIRST_DATE, LAST_DATE = "1970-01-02", "2099-12-30"
 

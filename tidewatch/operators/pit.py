@@ -104,7 +104,7 @@ def panel_as_of(store: DataFrame, as_of: str, features: Sequence[str] | None = N
 def first_crossing(scores: DataFrame, events: DataFrame, threshold: float) -> DataFrame:
     """Earliest as-of date before each event at which the score reached the threshold."""
     joined = events.join(scores, "entity_key", "left").where(F.col("as_of") < F.col("event_date"))
-    return joined.groupBy("entity_key", "event_date").agg(F.min(F.when(F.col("p") >= threshold, F.col("as_of"))).alias("first_alert"), F.max("p").alias("max_p"))
+    return joined.groupBy("entity_key", "event_date").agg(F.min(F.when(F.col("p") >= threshold, F.col("as_of"))).alias("first_alert"), F.round(F.max("p"), 6).alias("max_p"))
 
 
 def by_latest(keys: Sequence[str], *order: Column) -> Column:

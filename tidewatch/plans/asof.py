@@ -15,8 +15,8 @@ QUERIES, ORACLE, query = registry()
 AS_OF = "2022-06-06"
 #: The media signals cover a shorter history.
 MEDIA_AS_OF = "2024-12-02"
-#: The SQL of store_asof_long and store_panel names these; the queries take all features of the store.
-FEATURES = ("news_article_count", "padiweb_event_count", "gdelt_abnormal_volume")
+#: The SQL of store_panel has to name its columns; the query takes all features of the store, which are these.
+FEATURES = ("news_article_count", "padiweb_event_count", "gdelt_abnormal_volume", "beacon_signal_strength", "healthmap_alert_count")
 STORE = T.SIGNALS + """, st AS (SELECT entity_key, week, signal_name AS feature, CASE WHEN greatest(available_from, week) IS NULL THEN NULL ELSE greatest(available_from, week) END AS available_from, round(avg(value), 6) AS value FROM sg GROUP BY 1, 2, 3, 4)"""
 
 
@@ -56,7 +56,7 @@ def store_validate(spark, d):
     return s.groupBy(F.col("signal_name").alias("feature")).agg(F.count("*").alias("n"), F.count_if(F.col("available_from") < F.col("week")).alias("n_leaking"), F.count_if(F.col("available_from") < F.col("reference_date")).alias("n_early"))
 
 
-@query("store_asof_long", f"WITH {STORE} SELECT * FROM st WHERE available_from <= DATE '{MEDIA_AS_OF}' AND week <= DATE '{MEDIA_AS_OF}' AND week >= DATE '{MEDIA_AS_OF}' - 56 AND feature IN {FEATURES}")
+@query("store_asof_long", f"WITH {STORE} SELECT * FROM st WHERE available_from <= DATE '{MEDIA_AS_OF}' AND week <= DATE '{MEDIA_AS_OF}' AND week >= DATE '{MEDIA_AS_OF}' - 56")
 def store_asof_long(spark, d):
     s = pit.filter_as_of(store(spark, d), MEDIA_AS_OF)
     return s.where((F.col("week") <= pit.day(MEDIA_AS_OF)) & (F.col("week") >= F.date_sub(pit.day(MEDIA_AS_OF), 56))).select("entity_key", "week", "feature", "available_from", "value")
@@ -74,7 +74,7 @@ _PANEL = ", ".join(
 )
 
 
-@query("store_panel", f"""WITH {STORE}, c AS (SELECT entity_key, week, feature, arg_max(value, struct_pack(a := available_from, v := value)) AS value FROM st WHERE available_from <= DATE '{MEDIA_AS_OF}' AND week <= DATE '{MEDIA_AS_OF}' AND week >= DATE '{MEDIA_AS_OF}' - 84 AND feature IN {FEATURES} GROUP BY 1, 2, 3)
+@query("store_panel", f"""WITH {STORE}, c AS (SELECT entity_key, week, feature, arg_max(value, struct_pack(a := available_from, v := value)) AS value FROM st WHERE available_from <= DATE '{MEDIA_AS_OF}' AND week <= DATE '{MEDIA_AS_OF}' AND week >= DATE '{MEDIA_AS_OF}' - 84 GROUP BY 1, 2, 3)
 SELECT entity_key, {_PANEL} FROM c GROUP BY 1""")
 def store_panel(spark, d):
     return pit.panel_as_of(store(spark, d), MEDIA_AS_OF)
@@ -210,8 +210,15 @@ def camel_split(spark, d):
 
 @query("lead_time", f"""WITH {T.EVENTS}, n AS (SELECT DISTINCT entity_key, notification_date AS nd FROM ev WHERE notification_date IS NOT NULL),
 w AS (SELECT *, CASE WHEN nd - lag(nd) OVER (PARTITION BY entity_key ORDER BY nd) < 56 THEN 0 ELSE 1 END AS new FROM n),
-e AS (SELECT *, sum(new) OVER (PARTITION BY entity_key ORDER BY nd) AS episode FROM w)
-SELECT entity_key, CAST(episode AS BIGINT) AS episode, min(nd) AS first_date, max(nd) AS last_date, count(*) AS n FROM e GROUP BY 1, 2""")
+e AS (SELECT *, sum(new) OVER (PARTITION BY entity_key ORDER BY nd) AS episode FROM w),
+ep AS (SELECT entity_key, CAST(episode AS BIGINT) AS episode, min(nd) AS first_date, max(nd) AS last_date, count(*) AS n FROM e GROUP BY 1, 2),
+g AS (SELECT CAST(unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 7 DAY)) AS DATE) AS as_of FROM (SELECT date_trunc('week', min(reference_date)) AS a, max(greatest(available_from, notification_date)) AS b FROM ev)),
+sc AS (SELECT entity_key, as_of, 1 - exp(-sum(outbreaks) / 3.0) AS p FROM ev JOIN g ON available_from <= as_of AND reference_date <= as_of AND reference_date > as_of - 182 GROUP BY 1, 2),
+x AS (SELECT ep.entity_key, ep.episode, min(CASE WHEN p >= 0.40 THEN as_of END) AS first_alert, max(p) AS max_p FROM ep JOIN sc ON sc.entity_key = ep.entity_key AND sc.as_of < ep.first_date GROUP BY 1, 2),
+c AS (SELECT ep.*, first_alert, round(max_p, 6) AS max_p, first_alert IS NOT NULL AS detected, first_date - first_alert AS lead_days FROM ep LEFT JOIN x USING (entity_key, episode)),
+r AS (SELECT count(*) AS n_episodes, count(*) FILTER (WHERE detected) AS n_detected, round(avg(CAST(detected AS INT)), 6) AS detection_rate, quantile_cont(lead_days, 0.25) AS lead_days_p25,
+  quantile_cont(lead_days, 0.5) AS lead_days_median, quantile_cont(lead_days, 0.75) AS lead_days_p75, round(avg(lead_days), 6) AS lead_days_mean FROM c)
+SELECT * FROM c, r""")
 def lead_time(spark, d):
     """Lead time by episode of official notifications per entity (quiet gap of 56 days), and the report over all episodes.
 
@@ -245,8 +252,8 @@ def with_lead_time(found, scores):
     )
     at = lambda q: F.percentile("lead_days", F.lit(q))
     report = cases.agg(
-        F.count("*").alias("n_episodes"), F.count_if("detected").alias("n_detected"), F.avg(F.col("detected").cast("double")).alias("detection_rate"),
-        at(0.25).alias("lead_days_p25"), at(0.5).alias("lead_days_median"), at(0.75).alias("lead_days_p75"), F.avg("lead_days").alias("lead_days_mean"),
+        F.count("*").alias("n_episodes"), F.count_if("detected").alias("n_detected"), F.round(F.avg(F.col("detected").cast("double")), 6).alias("detection_rate"),
+        at(0.25).alias("lead_days_p25"), at(0.5).alias("lead_days_median"), at(0.75).alias("lead_days_p75"), F.round(F.avg("lead_days"), 6).alias("lead_days_mean"),
     )
     return cases.crossJoin(F.broadcast(report))
 

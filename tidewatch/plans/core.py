@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.functions.missing import code, count_value, date_value, id_value, score_value, text_value
+from tidewatch.functions.missing import FILLERS_SQL, NO_SCORE, code, count_value, date_value, id_value, score_value, text_value
 from tidewatch.operators import late, rolling, units, versions
 from tidewatch.session import table
 
@@ -196,6 +196,20 @@ roll AS (
          sum(amount) OVER (PARTITION BY entity_key ORDER BY day ROWS 29 PRECEDING) AS total_30 FROM full_days)
 """
 
+_ROLL_ALL = f"""
+WITH raw AS (
+  SELECT upper(trim(signal_id)) AS sid, {_d('available_from')} AS a, upper(trim(country_iso3)) || '|' || upper(trim(disease)) || '|' || lower(trim(signal_name)) AS e, {_d('reference_date')} AS d,
+    CASE WHEN isnan(value) THEN NULL WHEN lower(trim(signal_name)) LIKE '%_count' THEN CASE WHEN value >= 0 THEN value END WHEN value IN {NO_SCORE} THEN NULL ELSE value END AS v
+  FROM signal_records WHERE trim(signal_id) <> '' AND lower(trim(signal_name)) NOT IN {FILLERS_SQL}),
+best AS (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY sid ORDER BY a DESC NULLS LAST, v DESC NULLS LAST) = 1),
+daily AS (SELECT e AS entity_key, d AS day, sum(v::DECIMAL(28, 6)) AS amount FROM best WHERE v IS NOT NULL AND e IS NOT NULL AND d IS NOT NULL GROUP BY 1, 2),
+cal AS (SELECT entity_key, unnest(generate_series(min(day)::TIMESTAMP, max(day)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM daily GROUP BY 1),
+full_days AS (SELECT c.entity_key, c.day, coalesce(amount, 0) AS amount FROM cal c LEFT JOIN daily USING (entity_key, day)),
+roll AS (
+  SELECT entity_key, day, sum(amount) OVER (PARTITION BY entity_key ORDER BY day ROWS 6 PRECEDING) AS total_7,
+         sum(amount) OVER (PARTITION BY entity_key ORDER BY day ROWS 29 PRECEDING) AS total_30 FROM full_days)
+"""
+
 ORACLE = {
     "p1_found": _LATE + "SELECT source_table, record_id FROM cls WHERE refused",
     "p1_weekly": _LATE
@@ -214,7 +228,7 @@ s AS (
   WHERE lower(f.element) LIKE '%stock%' GROUP BY 1)
 SELECT * FROM w UNION ALL SELECT * FROM s""",
     "p7_found": _ROLL + "SELECT entity_key, strftime(day, '%Y-%m-%d') AS day FROM roll WHERE 2 * total_7 > total_30",
-    "p7_rolling": _ROLL
+    "p7_rolling": _ROLL_ALL
     + """SELECT entity_key, day, CAST(total_7 AS DOUBLE) AS total_7, CAST(total_30 AS DOUBLE) AS total_30,
-       round(total_7 / 7, 6) AS mean_7, round(total_30 / 30, 6) AS mean_30 FROM roll""",
+       round(CAST(total_7 AS DOUBLE) / 7, 6) AS mean_7, round(CAST(total_30 AS DOUBLE) / 30, 6) AS mean_30 FROM roll""",
 }

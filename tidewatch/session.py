@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -35,17 +37,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage through reliable storage.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a
-    folder of our own is used, because a machine-local one would be lost with its executor on a cluster.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a session on one machine (tests) gets a
+    folder of its own; on a cluster that would be lost with its executor, so it is refused.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewatch-")
-        )
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="tidewatch-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for written tables and streaming state beside the checkpoints, on storage that all executors share."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tidewatch-")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def within(df: DataFrame, rows: int) -> bool:
+    """Whether a table has at most ``rows`` rows; reads no further than one row beyond."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def small_side(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """The table with a broadcast hint if it is proven to be small, else as it is (the planner then shuffles both)."""
+    return F.broadcast(df) if within(df, rows) else df
+
+
 def parallelism(spark: SparkSession) -> int:
     """Partitions for an explicit repartition: at least what the cluster runs at once."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

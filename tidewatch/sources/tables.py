@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions.missing import code, count_value, date_value, text_value
+from tidewatch.functions.missing import FILLERS_SQL, code, count_value, date_value, text_value
 from tidewatch.operators.late import week_of
 from tidewatch.session import table
 
 _OK = "BETWEEN DATE '1970-01-02' AND DATE '2099-12-30'"
-_FILL = "('', '-', '--', '?', '.', 'n/a', 'na', 'n.a.', 'nan', 'nil', 'none', 'none given', 'not given', 'not known', 'not specified', 'not stated', 'null', 'tbd', 'unk', 'unknown', 'unspecified', 'missing', 'x', 'xx', 'xxx')"
+_FILL = FILLERS_SQL
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
