@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions.missing import code, coordinates, count_value, date_value, group_value, id_value, text_value
+from tidewatch.functions.missing import FILLERS_SQL, code, coordinates, count_value, date_value, group_value, id_value, text_value
 from tidewatch.llm import components, encode, leaks, linkage, pii, survivor
 from tidewatch.session import table
 
@@ -165,20 +165,25 @@ QUERIES = {
     "p9_clean": p9_clean,
 }
 
-_FILLERS = "('', '-', '--', '?', '.', 'n/a', 'na', 'n.a.', 'nan', 'nil', 'none', 'none given', 'not given', 'not known', 'not specified', 'not stated', 'null', 'tbd', 'unk', 'unknown', 'unspecified', 'missing', 'x', 'xx', 'xxx')"
+_FILLERS = FILLERS_SQL
 
 
 def _id(c: str) -> str:
     return f"CASE WHEN regexp_matches({c}, '[0-9]') AND NOT regexp_matches(trim({c}), '^0+$') AND lower(trim({c})) NOT IN {_FILLERS} THEN upper(trim({c})) END"
 
 
+def _group(c: str) -> str:
+    """A stand-in for a group id may have a prefix before its zeros."""
+    return f"CASE WHEN NOT regexp_full_match(trim({c}), '[^0-9]*0+') THEN {_id(c)} END"
+
+
 def _text(c: str) -> str:
     return f"CASE WHEN lower(trim({c})) NOT IN {_FILLERS} THEN trim({c}) END"
 
 
 ORACLE = {
     "p3_found": f"""
-WITH RECURSIVE ev AS (SELECT DISTINCT upper(trim(event_id)) AS id, {_id('canonical_event_id')} AS ce,
+WITH RECURSIVE ev AS (SELECT DISTINCT upper(trim(event_id)) AS id, {_group('canonical_event_id')} AS ce,
     regexp_replace(regexp_replace({_id('source_event_id')}, '^.*::\\s*', ''), '/V[0-9]+$', '') AS cited FROM canonical_events),
 ids AS (SELECT DISTINCT id FROM ev),
 edges AS (
@@ -192,7 +197,7 @@ SELECT s AS event_id, min(t) AS group_id FROM reach GROUP BY s""",
 WITH led AS (
   SELECT upper(trim(provenance_id)) AS p, arg_max(struct_pack(t := regexp_replace(lower(trim(source_tier)), '[\\s_-]+', '_', 'g'), d := published_at), retrieved_at) AS l FROM source_provenance GROUP BY 1),
 r AS (
-  SELECT {_id('canonical_event_id')} AS canonical_event_id, trim(event_id) AS event_id,
+  SELECT {_group('canonical_event_id')} AS canonical_event_id, trim(event_id) AS event_id,
     CASE l.t WHEN 'primary_official' THEN 0 WHEN 'secondary_official' THEN 1 WHEN 'intelligence' THEN 2 WHEN 'covariate' THEN 3 ELSE 4 END AS tier,
     CASE WHEN l.d BETWEEN DATE '1970-01-02' AND DATE '2099-12-30' THEN l.d END AS pub,
     {_text('admin1')} IS NOT NULL AS admin1, {_text('locality')} IS NOT NULL AS locality,
