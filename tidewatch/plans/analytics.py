@@ -199,34 +199,6 @@ def cluster_summary(spark, d):
     return T.events(spark, d).groupBy("entity_key").agg(F.count("*").alias("n"), F.min("available_from").alias("first_seen"), F.max("is_official").alias("has_official"), F.min(official("reference_date")).alias("anchor"), F.round(F.avg(official("lat")), 10).alias("lat"))
 
 
-_NEFF = f"""WITH {T.SIGNALS}, s AS (SELECT entity_key, week, source_name, max(reliability) AS w FROM sg WHERE reliability IS NOT NULL GROUP BY 1, 2, 3),
-p AS (SELECT a.entity_key, a.week, sum(a.w * b.w * CASE WHEN a.source_name = b.source_name THEN 1.0 ELSE 0.35 END) AS q FROM s a JOIN s b USING (entity_key, week) GROUP BY 1, 2),
-t AS (SELECT entity_key, week, sum(w) AS sw, count(*) AS n FROM s GROUP BY 1, 2), ne AS (SELECT entity_key, week, n, CASE WHEN sw <= 0 THEN 0 WHEN q <= 0 THEN 1 ELSE least(n, greatest(1, sw * sw / q)) END AS n_eff FROM t JOIN p USING (entity_key, week))"""
-
-
-@query("n_eff", _NEFF + " SELECT entity_key, week, n AS n_sources, round(n_eff, 6) AS n_eff FROM ne")
-def n_eff(spark, d):
-    return decide.effective_sources(T.signals(spark, d), ["entity_key", "week"], 0.35).select("entity_key", "week", "n_sources", r6(c("n_eff"), "n_eff"))
-
-
-@query("independence_report", _NEFF + " SELECT entity_key, round(avg(n_eff), 3) AS mean_n_eff, max(n) AS max_sources FROM ne GROUP BY 1")
-def independence_report(spark, d):
-    return decide.effective_sources(T.signals(spark, d), ["entity_key", "week"], 0.35).groupBy("entity_key").agg(F.round(F.avg("n_eff"), 3).alias("mean_n_eff"), F.max("n_sources").alias("max_sources"))
-
-
-@query("dependence_matrix", f"WITH {T.SIGNALS}, s AS (SELECT DISTINCT source_name FROM sg) SELECT a.source_name AS a, b.source_name AS b, CASE WHEN a.source_name = b.source_name THEN 1.0 ELSE 0.35 END::DOUBLE AS rho FROM s a, s b")
-def dependence_matrix(spark, d):
-    s = T.signals(spark, d).select("source_name").distinct()
-    return s.select(c("source_name").alias("a")).crossJoin(F.broadcast(s.select(c("source_name").alias("b")))).withColumn("rho", F.when(c("a") == c("b"), 1.0).otherwise(0.35))
-
-
-@query("signal_fusion", f"WITH {T.SIGNALS} SELECT entity_key, week, round(sum(value * reliability) / nullif(sum(reliability), 0), 10) AS fused, round(max(value), 6) AS strongest, count(*) FILTER (WHERE value > 1) AS n_strong, max(available_from) AS available_from FROM sg WHERE reliability IS NOT NULL GROUP BY 1, 2")
-def signal_fusion(spark, d):
-    s = T.signals(spark, d).where(c("reliability").isNotNull())
-    mean = F.try_divide(F.sum(c("value") * c("reliability")), F.nullif(F.sum("reliability"), F.lit(0.0)))
-    return s.groupBy("entity_key", "week").agg(F.round(mean, 10).alias("fused"), r6(F.max("value"), "strongest"), F.count_if(c("value") > 1).alias("n_strong"), F.max("available_from").alias("available_from"))
-
-
 @query("count_distinct", f"WITH {T.EVENTS} SELECT count(DISTINCT entity_key) AS entities, count(DISTINCT country) AS countries, count(DISTINCT disease) AS diseases FROM ev")
 def count_distinct(spark, d):
     return T.events(spark, d).agg(F.count_distinct("entity_key").alias("entities"), F.count_distinct("country").alias("countries"), F.count_distinct("disease").alias("diseases"))
@@ -402,26 +374,6 @@ def dedup_suffix(spark, d):
 
 # --- geography -------------------------------------------------------------------------------------------------------
 
-_CENT = f"WITH {T.EVENTS}, ct AS (SELECT country, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon FROM ev GROUP BY 1 HAVING avg(lat) IS NOT NULL), k AS (SELECT a.country AS a, b.country AS b, 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(a.lat - b.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(a.lon - b.lon) / 2), 2)))) AS km FROM ct a, ct b WHERE a.country <> b.country), g AS (SELECT a, b, km, exp(-((km / 1500) ** 2)) AS w0 FROM k), wt AS (SELECT a, b, km, w0 / CASE WHEN sum(w0) OVER (PARTITION BY a) < 1e-12 THEN 1 ELSE sum(w0) OVER (PARTITION BY a) END AS w FROM g)"
-
-
-@query("haversine", _CENT + " SELECT a, b, round(km, 4) AS km FROM k")
-def haversine(spark, d):
-    return geo.kernel(T.events(spark, d)).select("a", "b", F.round("km", 4).alias("km"))
-
-
-@query("decay_kernel", _CENT + " SELECT a, b, round(w, 6) AS w FROM wt")
-def decay_kernel(spark, d):
-    return geo.kernel(T.events(spark, d)).select("a", "b", r6(c("w"), "w"))
-
-
-@query("spatial_lag", _CENT + ", act AS (SELECT country, disease, ln(1 + sum(outbreaks)) AS x FROM ev GROUP BY 1, 2) SELECT a AS country, disease, round(sum(w * x), 6) AS pressure FROM wt JOIN act ON act.country = wt.b GROUP BY 1, 2")
-def spatial_lag(spark, d):
-    ev = T.events(spark, d)
-    act = ev.groupBy("country", "disease").agg(F.log1p(F.sum("outbreaks")).alias("x"))
-    return geo.kernel(ev).join(act, c("b") == act["country"]).groupBy(c("a").alias("country"), "disease").agg(r6(F.sum(c("w") * c("x")), "pressure"))
-
-
 @query("grid_cross", f"WITH {T.EVENTS} SELECT country, disease FROM (SELECT DISTINCT country FROM ev), (SELECT DISTINCT disease FROM ev)")
 def grid_cross(spark, d):
     ev = T.events(spark, d)
@@ -454,54 +406,6 @@ def fingerprint(spark, d):
     return p.select(F.substring(F.sha1(F.concat_ws("|", "source_name", "record_id", F.coalesce(c("published_at").cast("string"), F.lit("None")))), 1, 12).alias("fp"), "record_id").distinct()
 
 
-@query("banding", f"WITH {T.EVENTS} SELECT event_id, CASE WHEN cases >= 100 THEN 'high' WHEN cases >= 20 THEN 'medium' ELSE 'low' END AS band FROM ev")
-def banding(spark, d):
-    return T.events(spark, d).select("event_id", decide.band(c("cases"), [("low", None), ("medium", 20), ("high", 100)]).alias("band"))
-
-
-_SCORED = f"WITH {T.EVENTS}, s AS (SELECT entity_key, sum(outbreaks) FILTER (WHERE available_from <= DATE '{AS_OF}' AND reference_date > DATE '{AS_OF}' - 182 AND reference_date <= DATE '{AS_OF}') AS a, sum(outbreaks) FILTER (WHERE available_from > DATE '{AS_OF}' AND available_from <= DATE '{AS_OF}' + 91) AS b, sum(outbreaks) FILTER (WHERE reference_date > DATE '{AS_OF}' - 182 AND reference_date <= DATE '{AS_OF}') AS l FROM ev GROUP BY 1), sc AS (SELECT entity_key, 1 - exp(-coalesce(a, 0) / 3.0) AS p, CAST(coalesce(b, 0) > 0 AS INT) AS label, coalesce(l, 0) AS latent, CASE WHEN coalesce(l, 0) > 0 THEN greatest(0, least(1, (l - coalesce(a, 0)) / l::DOUBLE)) ELSE 0 END AS gap FROM s)"
-
-
-def _scored(spark, d):
-    """A score, a label, the latent burden and the reporting gap per entity at the as-of date."""
-    return decide.scores(T.events(spark, d), AS_OF)
-
-
-@query("alert_level", _SCORED + " SELECT entity_key, CASE WHEN p >= 0.65 THEN 'CRITICAL' WHEN p >= 0.4 THEN 'ALERT' WHEN p >= 0.2 THEN 'WATCH' WHEN p >= 0.08 THEN 'LOW' ELSE 'NONE' END AS level FROM sc")
-def alert_level(spark, d):
-    return _scored(spark, d).select("entity_key", decide.alert_level(c("p")).alias("level"))
-
-
-_PRIORITY = "least(1, greatest(0, 0.34 * p + 0.22 * gap + 0.20 * (1 - exp(-latent / 5.0))))"
-
-
-@query("investigation_priority", _SCORED + f" SELECT entity_key, round({_PRIORITY}, 6) AS priority FROM sc")
-def investigation_priority(spark, d):
-    return _scored(spark, d).select("entity_key", r6(decide.priority(c("p"), c("gap"), c("latent")), "priority"))
-
-
-@query("attention_list", _SCORED + f" SELECT entity_key, round({_PRIORITY}, 6) AS priority, row_number() OVER (ORDER BY round({_PRIORITY}, 6) DESC, entity_key) AS place FROM sc ORDER BY place LIMIT 20")
-def attention_list(spark, d):
-    top = investigation_priority(spark, d).orderBy(F.desc("priority"), "entity_key").limit(20)
-    return top.withColumn("place", F.row_number().over(W.orderBy(F.desc("priority"), "entity_key")))
-
-
-@query("gap_4w", _SCORED + " SELECT entity_key, round(gap, 6) AS gap FROM sc")
-def gap_4w(spark, d):
-    return _scored(spark, d).select("entity_key", r6(c("gap"), "gap"))
-
-
-@query("nowcast_expected", _SCORED + " SELECT entity_key, round((1.0 + latent) * (1 - p) / (1.0 + p), 6) AS expected_unreported FROM sc")
-def nowcast_expected(spark, d):
-    return _scored(spark, d).select("entity_key", r6((1.0 + c("latent")) * (1 - c("p")) / (1.0 + c("p")), "expected_unreported"))
-
-
-@query("nowcast_confidence", _SCORED + " SELECT entity_key, round(least(1, greatest(0, 0.5 * p + 0.3 / (1 + gap) + 0.2 * latent / (latent + 50.0))), 6) AS confidence FROM sc")
-def nowcast_confidence(spark, d):
-    x = 0.5 * c("p") + 0.3 / (1 + c("gap")) + 0.2 * c("latent") / (c("latent") + 50.0)
-    return _scored(spark, d).select("entity_key", r6(F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)), "confidence"))
-
-
 @query("temporal_split", f"WITH {T.EVENTS} SELECT CASE WHEN reference_date <= DATE '2021-12-31' THEN 'train' WHEN reference_date <= DATE '2022-12-31' THEN 'calibration' ELSE 'test' END AS split, count(*) AS n FROM ev GROUP BY 1")
 def temporal_split(spark, d):
     split = F.when(c("reference_date") <= pit.day("2021-12-31"), "train").when(c("reference_date") <= pit.day("2022-12-31"), "calibration").otherwise("test")
@@ -513,44 +417,6 @@ def impute_panel(spark, d):
     return T.events(spark, d).select("event_id", F.coalesce(c("cases").cast("double"), F.median("cases").over(W.partitionBy("disease")), F.lit(0.0)).alias("cases"))
 
 
-@query("brier", _SCORED + " SELECT round(avg((p - label) ** 2), 6) AS brier, count(*) AS n FROM sc")
-def brier(spark, d):
-    return _scored(spark, d).agg(r6(F.avg(F.pow(c("p") - c("label"), 2)), "brier"), F.count("*").alias("n"))
-
-
-@query("ece", _SCORED + ", b AS (SELECT least(9, CAST(floor(p * 10) AS INT)) AS bin, avg(p) AS mp, avg(label) AS ml, count(*) AS n FROM sc GROUP BY 1) SELECT round(sum(n * abs(mp - ml)) / sum(n), 6) AS ece FROM b")
-def ece(spark, d):
-    b = _scored(spark, d).groupBy(F.least(F.lit(9), F.floor(c("p") * 10)).alias("bin")).agg(F.avg("p").alias("mp"), F.avg("label").alias("ml"), F.count("*").alias("n"))
-    return b.agg(r6(F.sum(c("n") * F.abs(c("mp") - c("ml"))) / F.sum("n"), "ece"))
-
-
-@query("roc_auc_rank", _SCORED + ", r AS (SELECT label, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS rk FROM sc) SELECT round((sum(rk) FILTER (WHERE label = 1) - count(*) FILTER (WHERE label = 1) * (count(*) FILTER (WHERE label = 1) + 1) / 2.0) / (count(*) FILTER (WHERE label = 1) * count(*) FILTER (WHERE label = 0)), 6) AS auc FROM r")
-def roc_auc_rank(spark, d):
-    # ranks over distinct scores by a grouped running count, so no task holds all rows
-    g = _scored(spark, d).groupBy("p").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
-    below = F.coalesce(F.sum("n").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    r = g.withColumn("rk", below + (c("n") + 1) / 2)
-    np_, nn = F.sum("pos"), F.sum(c("n") - c("pos"))
-    return r.agg(r6((F.sum(c("rk") * c("pos")) - np_ * (np_ + 1) / 2) / (np_ * nn), "auc"))
-
-
-@query("calibration_slope", _SCORED + " SELECT round(regr_slope(label, p), 6) AS slope, round(regr_intercept(label, p), 6) AS intercept FROM sc")
-def calibration_slope(spark, d):
-    return _scored(spark, d).agg(r6(F.regr_slope("label", "p"), "slope"), r6(F.regr_intercept("label", "p"), "intercept"))
-
-
-@query("precision_at_k", _SCORED + " SELECT round(avg(label), 6) AS precision FROM (SELECT label FROM sc ORDER BY p DESC, entity_key LIMIT 20)")
-def precision_at_k(spark, d):
-    return _scored(spark, d).orderBy(F.desc("p"), "entity_key").limit(20).agg(r6(F.avg("label"), "precision"))
-
-
-@query("rank_average", _SCORED + " SELECT entity_key, round(((row_number() OVER (ORDER BY p, entity_key) - 1) / (count(*) OVER () - 1)::DOUBLE + (row_number() OVER (ORDER BY gap, entity_key) - 1) / (count(*) OVER () - 1)::DOUBLE) / 2, 6) AS score FROM sc")
-def rank_average(spark, d):
-    n = F.count("*").over(W.partitionBy()) - 1
-    share = lambda x: (F.row_number().over(W.orderBy(x, "entity_key")) - 1) / n
-    return _scored(spark, d).select("entity_key", r6((share("p") + share("gap")) / 2, "score"))
-
-
 @query("crps_weights", "WITH s AS (SELECT signal_name AS member, avg(value) AS score FROM signal_records WHERE value >= 0 AND NOT isnan(value) GROUP BY 1), e AS (SELECT member, exp(-(score - min(score) OVER ()) / (abs(avg(score) OVER ()) * 0.5)) AS w FROM s), f AS (SELECT member, greatest(w / sum(w) OVER (), 0.05) AS w FROM e) SELECT member, round(w / sum(w) OVER (), 6) AS weight FROM f")
 def crps_weights(spark, d):
     s = table(spark, d, "signal_records").where((c("value") >= 0) & ~F.isnan("value")).groupBy(c("signal_name").alias("member")).agg(F.avg("value").alias("score"))
@@ -607,12 +473,6 @@ def replay_roles(spark, d):
     return T.events(spark, d).select("event_id", F.when(c("available_from") <= pit.day(AS_OF), "knowable_then").otherwise("after_as_of_outcome").alias("role"))
 
 
-@query("radar_kpis", _SCORED + f" SELECT count(*) FILTER (WHERE {_PRIORITY} >= 0.30) AS n_30, count(*) FILTER (WHERE {_PRIORITY} >= 0.52) AS n_52, round(avg(gap), 6) AS mean_gap FROM sc")
-def radar_kpis(spark, d):
-    s = _scored(spark, d).withColumn("pr", decide.priority(c("p"), c("gap"), c("latent")))
-    return s.agg(F.count_if(c("pr") >= 0.30).alias("n_30"), F.count_if(c("pr") >= 0.52).alias("n_52"), r6(F.avg("gap"), "mean_gap"))
-
-
 @query("coverage_topn", f"WITH {T.EVENTS} SELECT disease, country, count(*) AS n FROM ev GROUP BY 1, 2 ORDER BY n DESC, disease, country LIMIT 20")
 def coverage_topn(spark, d):
     return T.events(spark, d).groupBy("disease", "country").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "disease", "country").limit(20)

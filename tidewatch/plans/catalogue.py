@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import analytics, asof, core, streams
+from tidewatch.plans import analytics, asof, core, decisions, streams
 
-_MODULES = (core, asof, analytics, streams)
+_MODULES = (core, asof, analytics, decisions, streams)
 
 
 def queries() -> dict:
@@ -16,5 +16,5 @@ def oracle_sql() -> dict:
 
 
 def flagship(spark, sf_dir):
-    """Entities by visible activity and reporting gap at the as-of date, the most urgent first."""
-    return analytics.attention_list(spark, sf_dir)
+    """The most urgent entities at the as-of date, from what was known by then."""
+    return decisions.attention_list(spark, sf_dir)

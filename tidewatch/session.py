@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -61,16 +60,6 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
-def within(df: DataFrame, rows: int) -> bool:
-    """Whether a table has at most ``rows`` rows; reads no further than one row beyond."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def small_side(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """The table with a broadcast hint if it is proven to be small, else as it is (the planner then shuffles both)."""
-    return F.broadcast(df) if within(df, rows) else df
-
-
 def parallelism(spark: SparkSession) -> int:
     """Partitions for an explicit repartition: at least what the cluster runs at once."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -9,17 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions.missing import FILLERS_SQL, code, count_value, date_value, text_value
+from tidewatch.functions.missing import FILLERS_SQL, code, coordinates, count_value, date_value, text_value
+from tidewatch.operators import geo
 from tidewatch.operators.late import week_of
 from tidewatch.session import table
 
 _OK = "BETWEEN DATE '1970-01-02' AND DATE '2099-12-30'"
 _FILL = FILLERS_SQL
+_PLACED = "latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND NOT (latitude = 0 AND longitude = 0)"
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
-    good = ~((c("latitude") == 0) & (c("longitude") == 0))
+    lat, lon = coordinates(c("latitude"), c("longitude"))
     return (
         table(spark, d, "canonical_events")
         .groupBy(code(c("event_id")).alias("event_id"))
@@ -38,8 +40,8 @@ def events(spark: SparkSession, d: str) -> DataFrame:
             F.coalesce(F.max(count_value(c("outbreaks"))), F.lit(1)).cast("long").alias("outbreaks"),
             F.max("is_official").alias("is_official"),
             F.min(text_value(c("admin1"))).alias("admin1"),
-            F.max(F.when(good, c("latitude"))).alias("lat"),
-            F.max(F.when(good, c("longitude"))).alias("lon"),
+            F.max(lat).alias("lat"),
+            F.max(lon).alias("lon"),
         )
         .where((c("event_id") != "") & c("reference_date").isNotNull() & c("available_from").isNotNull())
         .withColumn("entity_key", F.concat_ws("|", "country", "disease"))
@@ -57,7 +59,7 @@ EVENTS = f"""ev AS (
     max(CASE WHEN cases >= 0 THEN cases END) AS cases, max(CASE WHEN deaths >= 0 THEN deaths END) AS deaths,
     coalesce(max(CASE WHEN outbreaks >= 0 THEN outbreaks END), 1) AS outbreaks, bool_or(is_official) AS is_official,
     min(CASE WHEN lower(trim(admin1)) NOT IN {_FILL} THEN trim(admin1) END) AS admin1,
-    max(CASE WHEN NOT (latitude = 0 AND longitude = 0) THEN latitude END) AS lat, max(CASE WHEN NOT (latitude = 0 AND longitude = 0) THEN longitude END) AS lon
+    max(CASE WHEN {_PLACED} THEN latitude END) AS lat, max(CASE WHEN {_PLACED} THEN longitude END) AS lon
   FROM canonical_events GROUP BY 1) WHERE event_id <> '' AND reference_date IS NOT NULL AND available_from IS NOT NULL)"""
 
 
@@ -139,3 +141,28 @@ def series(spark: SparkSession, d: str) -> DataFrame:
 SERIES = TRIANGLE + """, weeks AS (SELECT CAST(unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 7 DAY)) AS DATE) AS week FROM (SELECT min(week) AS a, max(week) AS b FROM tri)),
 ser AS (SELECT g.entity_key, g.week, CAST(coalesce(s.y, 0) AS DOUBLE) AS y FROM (SELECT DISTINCT entity_key, w.week FROM tri, weeks w) g
   LEFT JOIN (SELECT entity_key, week, sum(count) AS y FROM tri GROUP BY 1, 2) s USING (entity_key, week))"""
+
+
+def places(spark: SparkSession, d: str) -> DataFrame:
+    """The country dimension: centroid of its outbreaks, neighbours (the three nearest countries stand in for the lists of
+    a configuration) and surveillance tier (by the last letter of the code, as a stand-in)."""
+    at = events(spark, d).where(F.col("country").rlike("^[A-Z]{3}$")).groupBy("country").agg(F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"), F.count("lat").alias("n"))
+    near = geo.pairs(at).groupBy(F.col("a").alias("country")).agg(F.slice(F.array_sort(F.collect_list(F.struct(F.round("km", 6).alias("km"), "b"))), 1, 3).alias("near"))
+    tier = F.element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), F.ascii(F.substring("country", 3, 1)) % 3 + 1)
+    return at.join(near, "country", "left").select("country", "lat", "lon", "n", F.coalesce(F.col("near.b"), F.array().cast("array<string>")).alias("neighbours"), tier.alias("tier"))
+
+
+KM_SQL = "2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(a.lat - b.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(a.lon - b.lon) / 2), 2))))"
+PLACES = f"""pl AS (SELECT country, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, count(lat) AS n, ['high', 'medium', 'low'][ascii(substr(country, 3, 1)) % 3 + 1] AS tier FROM ev WHERE regexp_full_match(country, '[A-Z]{{3}}') GROUP BY 1),
+kms AS (SELECT a.country AS a, b.country AS b, {KM_SQL} AS km FROM pl a, pl b WHERE a.country <> b.country AND a.lat IS NOT NULL AND b.lat IS NOT NULL),
+nb AS (SELECT a, b FROM kms QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(km, 6), b) <= 3), adj AS (SELECT a, b FROM nb UNION SELECT b, a FROM nb),
+kr AS (SELECT kms.a, kms.b, km, CASE WHEN adj.a IS NULL THEN 0 ELSE 1 END AS border, exp(-((km / 900) ** 2)) + 0.35 * (CASE WHEN adj.a IS NULL THEN 0 ELSE 1 END) AS raw FROM kms LEFT JOIN adj ON adj.a = kms.a AND adj.b = kms.b)"""
+
+
+def vintage_sql(as_of: str) -> str:
+    """CTEs of the vintage at one as-of date: vn(entity_key, country, disease, week, y, k, back), back 1 being the as-of week."""
+    return TRIANGLE + f""", sp AS (SELECT min(week) AS w0, least(CAST(date_trunc('week', DATE '{as_of}') AS DATE), max(week)) AS wn FROM tri),
+known AS (SELECT DISTINCT entity_key, country, disease FROM tri, sp WHERE available_week <= DATE '{as_of}' AND week <= wn),
+cal AS (SELECT CAST(unnest(generate_series(w0::TIMESTAMP, wn::TIMESTAMP, INTERVAL 7 DAY)) AS DATE) AS week FROM sp),
+vis AS (SELECT n.entity_key, n.country, n.disease, c.week, CAST(coalesce(sum(t.count), 0) AS DOUBLE) AS y FROM known n CROSS JOIN cal c LEFT JOIN tri t ON t.entity_key = n.entity_key AND t.week = c.week AND t.available_week <= DATE '{as_of}' GROUP BY ALL),
+vn AS (SELECT *, row_number() OVER (PARTITION BY entity_key ORDER BY week) AS k, row_number() OVER (PARTITION BY entity_key ORDER BY week DESC) AS back FROM vis)"""
