@@ -121,7 +121,7 @@ def climate(covariates: DataFrame, normals: DataFrame) -> DataFrame:
     anomaly = F.col("t2m_mean_c") - F.col("normal_tavg_c")
     return joined.select(
         "country", "week", "available_from", "t2m_mean_c", "total_precipitation_mm", anomaly.alias("temp_anomaly_c"),
-        (F.col("total_precipitation_mm") - F.col("normal_prec_mm") / 4.33).alias("precip_anomaly_mm"), F.greatest(-anomaly, F.lit(0.0)).alias("cold_snap_index"),
+        (F.col("total_precipitation_mm") - F.col("normal_prec_mm") / 4.33).alias("precip_anomaly_mm"), F.when(anomaly.isNotNull(), F.greatest(-anomaly, F.lit(0.0))).alias("cold_snap_index"),
     )
 
 

@@ -56,6 +56,24 @@ def holt_damped(values: Column, horizon: int, alpha: float = 0.35, beta: float =
     return F.aggregate(rest, start, step, lambda a: F.greatest(F.lit(0.0), F.expm1(a["level"] + damp * a["trend"])))
 
 
+def anomaly_block(frame: DataFrame, key: str, order: str, value: str, alpha: float = 0.3, baseline: int = 8) -> DataFrame:
+    """(key, order, volume, abnormal_volume, acceleration, baseline_ratio) of weekly counts: log volume, its EWMA z-score, its
+    second difference, and the count over the median of the ``baseline`` rows before (of all rows while there are fewer than
+    two), clipped to [0, 25]. One row of the global median is joined to all."""
+    counted = frame.groupBy(value).agg(F.count("*").alias("_n"))  # counts are few distinct values
+    middle = counted.agg(F.percentile(value, F.lit(0.5), F.col("_n")).alias("_g"))
+    s = ordered(frame.withColumn("_l", F.log1p(value)), key, order, "_l")
+    z = s.select(key, F.inline(F.arrays_zip(F.col("s.o").alias(order), ewma_scores(F.col("s.v"), alpha).alias("abnormal_volume"))))
+    w = Window.partitionBy(key).orderBy(order)
+    before = w.rowsBetween(-baseline, -1)
+    near = F.when(F.count(value).over(before) >= 2, F.percentile(value, F.lit(0.5)).over(before))
+    log = F.log1p(value)
+    rows = frame.select(key, order, value, near.alias("_m"), log.alias("volume"), F.coalesce(log - 2 * F.lag(log).over(w) + F.lag(log, 2).over(w), F.lit(0.0)).alias("acceleration"))
+    joined = rows.crossJoin(F.broadcast(middle)).join(z, [key, order])  # one row
+    ratio = F.least(F.lit(25.0), F.greatest(F.lit(0.0), (F.col(value) + 1) / (F.coalesce("_m", "_g") + 1)))
+    return joined.select(key, order, "volume", F.coalesce("abnormal_volume", F.lit(0.0)).alias("abnormal_volume"), "acceleration", ratio.alias("baseline_ratio"))
+
+
 def with_robust_z(frame: DataFrame, value: str, *keys: str, name: str = "z") -> DataFrame:
     """(x - median) / max(1.4826 * MAD, 0.5), medians over the unordered group."""
     w = Window.partitionBy(*keys)

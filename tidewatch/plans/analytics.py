@@ -125,11 +125,6 @@ def join_climatology(spark, d):
     return cv.select("covariate_id", r6(c("value") - F.avg("value").over(W.partitionBy("country", "m")), "anomaly"))
 
 
-@query("climate_anomaly", _NORMALS + ", a AS (SELECT covariate_id, value - normal AS x FROM cv JOIN n ON n.country = cv.country AND n.m = month(reference_date) WHERE variable = 't2m_mean_c') SELECT covariate_id, round(greatest(0, -x), 6) AS cold FROM a")
-def climate_anomaly(spark, d):
-    return join_climatology(spark, d).select("covariate_id", F.round(F.greatest(F.lit(0.0), -c("anomaly")), 6).alias("cold"))
-
-
 @query("join_semi", f"WITH {T.EVENTS}, {T.SIGNALS} SELECT DISTINCT entity_key FROM ev WHERE EXISTS (SELECT 1 FROM sg WHERE sg.entity_key = ev.entity_key)")
 def join_semi(spark, d):
     return T.events(spark, d).select("entity_key").distinct().join(T.signals(spark, d).select("entity_key").distinct(), "entity_key", "left_semi")
@@ -244,11 +239,6 @@ def prediction_summary(spark, d):
 _STEP = T.SERIES + ", n AS (SELECT entity_key, week, y, row_number() OVER (PARTITION BY entity_key ORDER BY week) AS k FROM ser)"
 
 
-@query("trailing_windows", f"WITH {T.SERIES} SELECT entity_key, week, " + ", ".join(f"sum(y) OVER (PARTITION BY entity_key ORDER BY week ROWS {n - 1} PRECEDING) AS last_{n}" for n in (4, 13, 52)) + ", max(y) OVER (PARTITION BY entity_key ORDER BY week ROWS 12 PRECEDING) AS max_13 FROM ser")
-def trailing_windows(spark, d):
-    return T.series(spark, d).select("entity_key", "week", *(series.trailing("y", "entity_key", "week", n).alias(f"last_{n}") for n in (4, 13, 52)), series.trailing("y", "entity_key", "week", 13, F.max).alias("max_13"))
-
-
 @query("weeks_since_last", f"WITH {T.SERIES} SELECT entity_key, week, CAST((week - max(CASE WHEN y > 0 THEN week END) OVER (PARTITION BY entity_key ORDER BY week ROWS UNBOUNDED PRECEDING)) / 7 AS INT) AS weeks_since FROM ser")
 def weeks_since_last(spark, d):
     last = F.max(F.when(c("y") > 0, c("week"))).over(W.partitionBy("entity_key").orderBy("week").rowsBetween(W.unboundedPreceding, 0))
@@ -308,20 +298,6 @@ def cusum(spark, d):
     return series.cusum(_rz(spark, d), "z", "entity_key", "week").select("entity_key", "week", F.round("s", 4).alias("s"))
 
 
-@query("control_chart", _CUSUM + " SELECT entity_key, count(*) FILTER (WHERE s > 3) AS n_cusum, round(max(s), 4) AS top FROM cs GROUP BY 1")
-def control_chart(spark, d):
-    return series.cusum(_rz(spark, d), "z", "entity_key", "week").groupBy("entity_key").agg(F.count_if(c("s") > 3).alias("n_cusum"), F.round(F.max("s"), 4).alias("top"))
-
-
-@query("anomaly_block", f"""WITH {T.SERIES} SELECT entity_key, week, round(ln(1 + y), 6) AS volume, coalesce(y - 2 * lag(y) OVER w + lag(y, 2) OVER w, 0) AS acceleration,
- round(least(25, (y + 1) / (CASE WHEN count(*) OVER b >= 2 THEN quantile_cont(y, 0.5) OVER b ELSE 0 END + 1)), 6) AS ratio FROM ser WINDOW w AS (PARTITION BY entity_key ORDER BY week), b AS (PARTITION BY entity_key ORDER BY week ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)""")
-def anomaly_block(spark, d):
-    w = W.partitionBy("entity_key").orderBy("week")
-    b = w.rowsBetween(-8, -1)
-    middle = F.when(F.count("*").over(b) >= 2, F.percentile("y", F.lit(0.5)).over(b)).otherwise(0.0)
-    return T.series(spark, d).select("entity_key", "week", r6(F.log1p("y"), "volume"), F.coalesce(c("y") - 2 * F.lag("y").over(w) + F.lag("y", 2).over(w), F.lit(0.0)).alias("acceleration"), r6(F.least(F.lit(25.0), (c("y") + 1) / (middle + 1)), "ratio"))
-
-
 @query("seasonal_expanding", f"WITH {T.SERIES} SELECT entity_key, week, round(coalesce(avg(y) OVER (PARTITION BY entity_key, extract(week FROM week) ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), avg(y) OVER (PARTITION BY entity_key ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS base FROM ser")
 def seasonal_expanding(spark, d):
     same = W.partitionBy("entity_key", F.weekofyear("week")).orderBy("week").rowsBetween(W.unboundedPreceding, -1)
@@ -353,12 +329,6 @@ def pct_rank_avg(spark, d):
     return _stocks(spark, d).select("row_id", r6(series.average_rank_share("value", "item"), "pct"))
 
 
-@query("damped_trend", f"""WITH RECURSIVE {_STEP}, r AS (SELECT entity_key, k, ln(1 + y) AS level, 0.0::DOUBLE AS trend FROM n WHERE k = 1 UNION ALL SELECT n.entity_key, n.k, 0.35 * ln(1 + n.y) + 0.65 * (r.level + 0.85 * r.trend), 0.15 * (0.35 * ln(1 + n.y) + 0.65 * (r.level + 0.85 * r.trend) - r.level) + 0.85 * 0.85 * r.trend FROM r JOIN n ON n.entity_key = r.entity_key AND n.k = r.k + 1)
-SELECT entity_key, round(greatest(0, exp(arg_max(level, k) + (0.85 + 0.85 * 0.85) * arg_max(trend, k)) - 1), 6) AS forecast FROM r GROUP BY 1""")
-def damped_trend(spark, d):
-    return series.ordered(T.series(spark, d)).select("entity_key", r6(series.holt_damped(c("s.v"), 2), "forecast"))
-
-
 @query("episodes", f"WITH {T.EVENTS}, n AS (SELECT DISTINCT entity_key, reference_date AS rd FROM ev), w AS (SELECT *, CASE WHEN rd - lag(rd) OVER (PARTITION BY entity_key ORDER BY rd) < 56 THEN 0 ELSE 1 END AS new FROM n) SELECT entity_key, rd, CAST(sum(new) OVER (PARTITION BY entity_key ORDER BY rd) AS BIGINT) AS episode FROM w")
 def episodes(spark, d):
     n = T.events(spark, d).select("entity_key", c("reference_date").alias("rd")).distinct()
@@ -380,11 +350,6 @@ def grid_cross(spark, d):
     return ev.select("country").distinct().crossJoin(F.broadcast(ev.select("disease").distinct()))  # both are dimensions
 
 
-@query("suitability", f"WITH {T.COVARIATES} SELECT covariate_id, round(exp(-0.5 * ((value - 12) / 9) ** 2), 6) AS suitability FROM cv WHERE variable = 't2m_mean_c'")
-def suitability(spark, d):
-    return T.covariates(spark, d).where("variable = 't2m_mean_c'").select("covariate_id", r6(F.exp(-0.5 * F.pow((c("value") - 12) / 9, 2)), "suitability"))
-
-
 # --- scalars, decisions, scores --------------------------------------------------------------------------------------
 
 
@@ -412,20 +377,6 @@ def temporal_split(spark, d):
     return T.events(spark, d).groupBy(split.alias("split")).agg(F.count("*").alias("n"))
 
 
-@query("impute_panel", f"WITH {T.EVENTS} SELECT event_id, coalesce(cases, median(cases) OVER (PARTITION BY disease), 0)::DOUBLE AS cases FROM ev")
-def impute_panel(spark, d):
-    return T.events(spark, d).select("event_id", F.coalesce(c("cases").cast("double"), F.median("cases").over(W.partitionBy("disease")), F.lit(0.0)).alias("cases"))
-
-
-@query("crps_weights", "WITH s AS (SELECT signal_name AS member, avg(value) AS score FROM signal_records WHERE value >= 0 AND NOT isnan(value) GROUP BY 1), e AS (SELECT member, exp(-(score - min(score) OVER ()) / (abs(avg(score) OVER ()) * 0.5)) AS w FROM s), f AS (SELECT member, greatest(w / sum(w) OVER (), 0.05) AS w FROM e) SELECT member, round(w / sum(w) OVER (), 6) AS weight FROM f")
-def crps_weights(spark, d):
-    s = table(spark, d, "signal_records").where((c("value") >= 0) & ~F.isnan("value")).groupBy(c("signal_name").alias("member")).agg(F.avg("value").alias("score"))
-    w = W.partitionBy()  # one row per member
-    e = s.withColumn("w", F.exp(-(c("score") - F.min("score").over(w)) / (F.abs(F.avg("score").over(w)) * 0.5)))
-    f = e.withColumn("w", F.greatest(c("w") / F.sum("w").over(w), F.lit(0.05)))
-    return f.select("member", r6(c("w") / F.sum("w").over(w), "weight"))
-
-
 # --- order, sets, serving --------------------------------------------------------------------------------------------
 
 

@@ -122,55 +122,6 @@ def delay_profile(spark, d):
     return g.select("delay_weeks", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("share"))
 
 
-_GRID = "g AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2021-01-04', TIMESTAMP '2022-12-26', INTERVAL 7 DAY)) AS DATE) AS as_of)"
-
-
-@query("multi_asof_panel", f"WITH {T.EVENTS}, {_GRID} SELECT entity_key, as_of, CAST(sum(outbreaks) AS BIGINT) AS activity FROM ev JOIN g ON available_from <= as_of AND reference_date <= as_of AND reference_date > as_of - 28 GROUP BY 1, 2")
-def multi_asof_panel(spark, d):
-    grid = pit.grid(spark, "2021-01-04", "2022-12-26").select(F.col("as_of").cast("date").alias("as_of"))
-    return pit.many_as_of(T.events(spark, d), grid)
-
-
-_HORIZON = f"""WITH {T.EVENTS}, {_GRID}, hist AS (SELECT entity_key, as_of, sum(outbreaks) AS v8 FROM ev JOIN g ON available_from <= as_of AND reference_date <= as_of AND reference_date > as_of - 56 GROUP BY 1, 2),
-fut AS (SELECT entity_key, as_of, sum(outbreaks) AS f FROM ev JOIN g ON available_from > as_of AND available_from <= as_of + 28 GROUP BY 1, 2),
-base AS (SELECT entity_key, as_of FROM (SELECT DISTINCT entity_key FROM ev) CROSS JOIN g)
-SELECT entity_key, as_of, CAST(coalesce(f, 0) AS BIGINT) AS future_published, round(greatest(1.0, 1.5 * coalesce(v8, 0) / 8 * 4), 6) AS label_threshold,
-  CAST(coalesce(f, 0) >= greatest(1.0, 1.5 * coalesce(v8, 0) / 8 * 4) AS INT) AS label, coalesce(v8, 0) <= 0 AS is_quiet,
-  CAST(coalesce(f, 0) >= greatest(1.0, 1.5 * coalesce(v8, 0) / 8 * 4) AND coalesce(v8, 0) <= 0 AS INT) AS is_emergence, as_of + 28 <= DATE '2024-12-31' AS label_observable
-FROM base LEFT JOIN hist USING (entity_key, as_of) LEFT JOIN fut USING (entity_key, as_of)"""
-
-
-@query("ew_labels", _HORIZON)
-def ew_labels(spark, d):
-    """Early-warning labels for every entity and as-of date; events reach their few dates by calendar, not by a range join."""
-    ev = T.events(spark, d)
-    grid = pit.grid(spark, "2021-01-04", "2022-12-26").select(F.col("as_of").cast("date").alias("as_of"))
-    visible = pit.many_as_of(ev, grid, 8).withColumnRenamed("activity", "v8")
-    first, last = pit.day("2021-01-04"), pit.day("2022-12-26")
-    begin = F.greatest(F.date_sub("available_from", 28), first)
-    aligned = F.date_add(first, (F.ceil(F.datediff(begin, first) / 7) * 7).cast("int"))
-    stop = F.least(F.date_sub("available_from", 1), last)
-    future = ev.where(aligned <= stop).select("entity_key", "outbreaks", F.explode(F.sequence(aligned, stop, F.expr("INTERVAL 7 DAYS"))).alias("as_of")).groupBy("entity_key", "as_of").agg(F.sum("outbreaks").alias("f"))
-    base = ev.select("entity_key").distinct().crossJoin(F.broadcast(grid))  # a fixed calendar of 104 dates
-    seen, f = F.coalesce("v8", F.lit(0)), F.coalesce("f", F.lit(0))
-    threshold = F.greatest(F.lit(1.0), 1.5 * seen / 8 * 4)
-    return (
-        base.join(visible, ["entity_key", "as_of"], "left").join(future, ["entity_key", "as_of"], "left")
-        .select("entity_key", "as_of", f.alias("future_published"), F.round(threshold, 6).alias("label_threshold"), (f >= threshold).cast("int").alias("label"),
-                (seen <= 0).alias("is_quiet"), ((f >= threshold) & (seen <= 0)).cast("int").alias("is_emergence"), (F.date_add("as_of", 28) <= pit.day("2024-12-31")).alias("label_observable"))
-    )
-
-
-@query("forecast_targets", f"""WITH {T.SERIES}, {_GRID}, h AS (SELECT unnest([7, 14, 28]) AS horizon_days)
-SELECT entity_key, as_of, horizon_days, week AS target_week, y AS target_reported_final, week + 90 <= DATE '2024-12-31' AS target_complete FROM g, h JOIN ser ON ser.week = CAST(date_trunc('week', as_of + horizon_days) AS DATE)""")
-def forecast_targets(spark, d):
-    grid = pit.grid(spark, "2021-01-04", "2022-12-26").select(F.col("as_of").cast("date").alias("as_of"))
-    ask = grid.select("as_of", F.explode(F.array(F.lit(7), F.lit(14), F.lit(28))).alias("horizon_days"))
-    ask = ask.withColumn("week", F.date_trunc("week", F.expr("date_add(as_of, horizon_days)")).cast("date"))
-    s = T.series(spark, d)
-    return s.join(F.broadcast(ask), "week").select("entity_key", "as_of", "horizon_days", F.col("week").alias("target_week"), F.col("y").alias("target_reported_final"), (F.date_add("week", 90) <= pit.day("2024-12-31")).alias("target_complete"))
-
-
 @query("scan_parquet", "SELECT event_id, country_iso3, cases FROM canonical_events WHERE cases > 100")
 def scan_parquet(spark, d):
     return table(spark, d, "canonical_events").where(F.col("cases") > 100).select("event_id", "country_iso3", "cases")
