@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import analytics, asof, core, decisions, features, streams
+from tidewatch.plans import analytics, asof, core, decisions, features, modelling, streams
 
-_MODULES = (core, asof, analytics, decisions, features, streams)
+_MODULES = (core, asof, analytics, decisions, features, modelling, streams)
 
 
 def queries() -> dict:
