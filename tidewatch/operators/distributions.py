@@ -52,8 +52,10 @@ def nb_log_pmf(k: np.ndarray, mu: np.ndarray, alpha: float) -> np.ndarray:
 
 def nb_cdf_table(mu: float, alpha: float, upto: int) -> np.ndarray:
     """Distribution function at 0 .. upto."""
-    k = np.arange(upto + 1, dtype=float)
-    return np.minimum(np.cumsum(np.exp(nb_log_pmf(k, np.full_like(k, mu), alpha))), 1.0)
+    r, k = 1.0 / max(alpha, EPS), np.arange(upto, dtype=float)
+    p = r / (r + max(mu, EPS))
+    steps = np.log((k + r) / (k + 1)) + np.log1p(-p)  # pmf(k + 1) / pmf(k)
+    return np.minimum(np.cumsum(np.exp(r * np.log(p) + np.concatenate([[0.0], np.cumsum(steps)]))), 1.0)
 
 
 def nb_draws(mu: np.ndarray, alpha: float, size: tuple[int, ...], rng: np.random.Generator) -> np.ndarray:

@@ -35,7 +35,7 @@ def temporal(v: Vintages) -> DataFrame:
         F.size(F.filter(vintage.last(s, 52), lambda x: x > 0)).cast("double").alias("obs_active_weeks_52w"),
         vintage.weeks_since(s).alias("obs_weeks_since_last"),
         (F.log1p(last(4)) - F.log1p(vintage.previous_four(s))).alias("obs_log_growth_4w"),
-        F.element_at(series.ewma_scores(logs), -1).alias("obs_ewma_z"),
+        series.ewma_last(logs).alias("obs_ewma_z"),
         F.array_max(vintage.last(s, 13)).alias("obs_max_week_13w"),
         (last(4) > 0).cast("double").alias("obs_is_currently_reporting"),
     )

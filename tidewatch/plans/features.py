@@ -344,7 +344,7 @@ SELECT entity_key, round(z, 6) AS ewma_z, z >= 2 AS ewma_alarm, round(s, 4) AS c
 def control_chart(spark, d):
     """EWMA and CUSUM charts of the series visible at the as-of date: their last values and alarms."""
     v = _vintages(spark, d).frame
-    z = F.element_at(series.ewma_scores(F.transform("s", lambda x: F.log1p(x))), -1)
+    z = series.ewma_last(F.transform("s", lambda x: F.log1p(x)))
     flat = v.select("entity_key", F.posexplode("s").alias("k", "y")).withColumn("l", F.log1p("y"))
     s = series.cusum(series.with_robust_z(flat, "l", "entity_key"), "z", "entity_key", "k").groupBy("entity_key").agg(F.max_by("s", "k").alias("s"))
     return v.select("entity_key", z.alias("z")).join(s, "entity_key").select("entity_key", r6(c("z"), "ewma_z"), (c("z") >= 2).alias("ewma_alarm"), F.round("s", 4).alias("cusum"), (c("s") > 3).alias("cusum_alarm"))
