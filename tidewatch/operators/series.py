@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def ordered(frame: DataFrame, key: str = "entity_key", order: str = "week", value: str = "y") -> DataFrame:
@@ -44,11 +45,13 @@ def ewma_scores(values: Column, alpha: float = 0.3, min_sd: float = 0.5) -> Colu
     return F.aggregate(values, start, step, lambda a: a["z"])
 
 
-@F.pandas_udf("double")
-def ewma_last(values: pd.Series) -> pd.Series:
-    """The last of ``ewma_scores`` (alpha 0.3, smallest deviation 0.5) of each array; null for an empty or null one.
+def ewma_last(values: Column) -> Column:
+    """The last of ``ewma_scores`` (alpha 0.3, smallest deviation 0.5) of each array; null for an empty or null one."""
+    return F.pandas_udf(_ewma_last, DoubleType())(values)
 
-    The recurrence runs over the weeks for all rows of an Arrow batch at once, which measured ten times faster than folding
+
+def _ewma_last(values: pd.Series) -> pd.Series:
+    """The recurrence runs over the weeks for all rows of an Arrow batch at once, which measured ten times faster than folding
     each array in the JVM."""
     alpha, min_sd = 0.3, 0.5
     rows = [np.asarray(v, dtype=float) if v is not None else np.zeros(0) for v in values]
