@@ -103,12 +103,6 @@ def constraint_violations(spark, d):
     return table(spark, d, "canonical_events").agg(F.count_if((F.abs("latitude") > 90) | (F.abs("longitude") > 180)).alias("bad_place"), F.count_if(c("cases") < 0).alias("negative_cases"), F.count_if(c("available_from") < c("publication_date")).alias("early"), F.count_if((c("deaths") > c("cases")) & (c("cases") >= 0)).alias("more_deaths"))
 
 
-@query("semester_status", f"WITH {T.EVENTS} SELECT DISTINCT entity_key, CASE WHEN month(reference_date) <= 6 THEN make_date(year(reference_date), 6, 30) ELSE make_date(year(reference_date), 12, 31) END AS semester_end FROM ev")
-def semester_status(spark, d):
-    end = F.when(F.month("reference_date") <= 6, F.make_date(F.year("reference_date"), F.lit(6), F.lit(30))).otherwise(F.make_date(F.year("reference_date"), F.lit(12), F.lit(31)))
-    return T.events(spark, d).select("entity_key", end.alias("semester_end")).distinct()
-
-
 @query("regex_extract_pivot", "SELECT DISTINCT variable, regexp_extract(variable, '_([a-z0-9]+)$', 1) AS suffix FROM covariate_records WHERE variable IS NOT NULL")
 def regex_extract_pivot(spark, d):
     return table(spark, d, "covariate_records").where(c("variable").isNotNull()).select("variable", F.regexp_extract("variable", "_([a-z0-9]+)$", 1).alias("suffix")).distinct()
@@ -188,12 +182,6 @@ def evidence_sets(spark, d):
     return T.events(spark, d).groupBy("entity_key", "week").agg(F.min("available_from").alias("first_seen"), F.array_join(F.array_sort(F.collect_set("source_name")), ";").alias("sources"), F.count("*").alias("n"))
 
 
-@query("cluster_summary", f"WITH {T.EVENTS} SELECT entity_key, count(*) AS n, min(available_from) AS first_seen, bool_or(is_official) AS has_official, min(CASE WHEN is_official THEN reference_date END) AS anchor, round(avg(CASE WHEN is_official THEN lat END), 10) AS lat FROM ev GROUP BY 1")
-def cluster_summary(spark, d):
-    official = lambda x: F.when(c("is_official"), c(x))
-    return T.events(spark, d).groupBy("entity_key").agg(F.count("*").alias("n"), F.min("available_from").alias("first_seen"), F.max("is_official").alias("has_official"), F.min(official("reference_date")).alias("anchor"), F.round(F.avg(official("lat")), 10).alias("lat"))
-
-
 @query("count_distinct", f"WITH {T.EVENTS} SELECT count(DISTINCT entity_key) AS entities, count(DISTINCT country) AS countries, count(DISTINCT disease) AS diseases FROM ev")
 def count_distinct(spark, d):
     return T.events(spark, d).agg(F.count_distinct("entity_key").alias("entities"), F.count_distinct("country").alias("countries"), F.count_distinct("disease").alias("diseases"))
@@ -412,13 +400,6 @@ def distinct_first(spark, d):
     return table(spark, d, "canonical_events").where("publication_date is not null").groupBy(code(c("event_id")).alias("event_id")).agg(F.min("publication_date").alias("publication_date"))
 
 
-@query("replay", f"WITH {T.EVENTS} SELECT entity_key, CAST(coalesce(sum(outbreaks) FILTER (WHERE available_from <= DATE '{AS_OF}'), 0) AS BIGINT) AS known_then, CAST(coalesce(sum(outbreaks) FILTER (WHERE available_from > DATE '{AS_OF}' AND available_from <= DATE '{AS_OF}' + 90), 0) AS BIGINT) AS after_90, max(reference_date) FILTER (WHERE available_from <= DATE '{AS_OF}') AS last_known FROM ev GROUP BY 1")
-def replay(spark, d):
-    known, later = c("available_from") <= pit.day(AS_OF), (c("available_from") > pit.day(AS_OF)) & (c("available_from") <= F.date_add(pit.day(AS_OF), 90))
-    total = lambda cond: F.coalesce(F.sum(F.when(cond, c("outbreaks"))), F.lit(0))
-    return T.events(spark, d).groupBy("entity_key").agg(total(known).alias("known_then"), total(later).alias("after_90"), F.max(F.when(known, c("reference_date"))).alias("last_known"))
-
-
 @query("replay_roles", f"WITH {T.EVENTS} SELECT event_id, CASE WHEN available_from <= DATE '{AS_OF}' THEN 'knowable_then' ELSE 'after_as_of_outcome' END AS role FROM ev")
 def replay_roles(spark, d):
     return T.events(spark, d).select("event_id", F.when(c("available_from") <= pit.day(AS_OF), "knowable_then").otherwise("after_as_of_outcome").alias("role"))
@@ -427,16 +408,3 @@ def replay_roles(spark, d):
 @query("coverage_topn", f"WITH {T.EVENTS} SELECT disease, country, count(*) AS n FROM ev GROUP BY 1, 2 ORDER BY n DESC, disease, country LIMIT 20")
 def coverage_topn(spark, d):
     return T.events(spark, d).groupBy("disease", "country").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "disease", "country").limit(20)
-
-
-@query("provenance_lookup", f"WITH {T.SIGNALS} SELECT DISTINCT record_id, source_name FROM source_provenance WHERE source_name IN (SELECT source_name FROM sg) AND available_from <= DATE '{AS_OF}'")
-def provenance_lookup(spark, d):
-    names = T.signals(spark, d).select("source_name").distinct()
-    return table(spark, d, "source_provenance").where(c("available_from") <= pit.day(AS_OF)).join(names, "source_name", "left_semi").select("record_id", "source_name").distinct()
-
-
-@query("headlines", "SELECT entity_key, summary, published FROM (SELECT upper(trim(entity_key)) AS entity_key, summary, min(publication_date) AS published FROM alert_events WHERE summary IS NOT NULL AND entity_key IS NOT NULL AND publication_date IS NOT NULL GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY entity_key ORDER BY published DESC, summary) <= 20")
-def headlines(spark, d):
-    a = table(spark, d, "alert_events").where("summary is not null and entity_key is not null and publication_date is not null")
-    once = a.groupBy(code(c("entity_key")).alias("entity_key"), "summary").agg(F.min("publication_date").alias("published"))
-    return once.withColumn("n", pit.by_latest(["entity_key"], F.desc("published"), c("summary"))).where("n <= 20").drop("n")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions.missing import FILLERS_SQL, code, coordinates, count_value, date_value, text_value
+from tidewatch.functions.missing import FILLERS_SQL, code, coordinates, count_value, date_value, id_value, text_value
 from tidewatch.operators import geo
 from tidewatch.operators.late import week_of
 from tidewatch.session import table
@@ -40,6 +40,7 @@ def events(spark: SparkSession, d: str) -> DataFrame:
             F.coalesce(F.max(count_value(c("outbreaks"))), F.lit(1)).cast("long").alias("outbreaks"),
             F.max("is_official").alias("is_official"),
             F.min(text_value(c("admin1"))).alias("admin1"),
+            F.min(id_value(c("source_event_id"))).alias("cited"),
             F.max(lat).alias("lat"),
             F.max(lon).alias("lon"),
         )
@@ -59,6 +60,7 @@ EVENTS = f"""ev AS (
     max(CASE WHEN cases >= 0 THEN cases END) AS cases, max(CASE WHEN deaths >= 0 THEN deaths END) AS deaths,
     coalesce(max(CASE WHEN outbreaks >= 0 THEN outbreaks END), 1) AS outbreaks, bool_or(is_official) AS is_official,
     min(CASE WHEN lower(trim(admin1)) NOT IN {_FILL} THEN trim(admin1) END) AS admin1,
+    min(CASE WHEN regexp_matches(source_event_id, '[0-9]') AND NOT regexp_matches(trim(source_event_id), '^0+$') AND lower(trim(source_event_id)) NOT IN {_FILL} THEN upper(trim(source_event_id)) END) AS cited,
     max(CASE WHEN {_PLACED} THEN latitude END) AS lat, max(CASE WHEN {_PLACED} THEN longitude END) AS lon
   FROM canonical_events GROUP BY 1) WHERE event_id <> '' AND reference_date IS NOT NULL AND available_from IS NOT NULL)"""
 
