@@ -178,11 +178,7 @@ def exposure(density: DataFrame, stocks: DataFrame) -> DataFrame:
 
     log = F.log1p(F.greatest("value", F.lit(0.0)))
     dense = of_diseases(density).withColumn("log", log)
-    # ranks over the distinct values of a release, so that no window holds all rows of one
-    counts = dense.groupBy("disease", "available_from", "log").agg(F.count("*").alias("n"))
-    release = Window.partitionBy("disease", "available_from")
-    below = F.coalesce(F.sum("n").over(release.orderBy("log").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.select("disease", "available_from", "log", ((below + (F.col("n") + 1) / 2) / F.sum("n").over(release)).alias("rank"))
+    ranked = series.rank_shares(dense, ["disease", "available_from"], "log", "rank")
     a = _long(dense.join(ranked, ["disease", "available_from", "log"]), {"exp_host_density_log": "log", "exp_host_density_rank": "rank"}, "livestock_exposure", "GLW4")
     herd = of_diseases(stocks).withColumn("log", log)
     trend = F.coalesce(F.col("log") - F.lag("log").over(Window.partitionBy("country", "disease").orderBy("week", "available_from", "value")), F.lit(0.0))

@@ -6,6 +6,8 @@ a higher-order function with a struct as accumulator.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -118,11 +120,13 @@ def cusum(frame: DataFrame, z: str, key: str, order: str, k: float = 0.5) -> Dat
     return run.withColumn("s", F.col("_c") - F.least(F.lit(0.0), F.min("_c").over(w))).drop("_c")
 
 
-def average_rank_share(value: str, *keys: str) -> Column:
-    """Average rank of ties over the number of rows (not SQL's percent_rank)."""
-    by = Window.partitionBy(*keys).orderBy(value)
-    ties = F.count("*").over(Window.partitionBy(*keys, value))
-    return (F.rank().over(by) + (ties - 1) / 2) / F.count("*").over(Window.partitionBy(*keys))
+def rank_shares(frame: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """(keys, value, name): average rank of ties over the number of rows (not SQL's percent_rank), made over the distinct
+    values of each group, so that repeated values cost one row."""
+    counted = frame.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*keys)
+    below = F.coalesce(F.sum("_n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counted.select(*keys, value, ((below + (F.col("_n") + 1) / 2) / F.sum("_n").over(group)).alias(name))
 
 
 def episodes(frame: DataFrame, key: str, date: str, gap_days: int = 56) -> DataFrame:

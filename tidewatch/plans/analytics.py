@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewatch.functions.missing import code
+from tidewatch.functions import labels
+from tidewatch.functions.missing import code, date_value
+from tidewatch.functions.settings import ENVIRONMENT
 from tidewatch.operators import decide, geo, pit, series
 from tidewatch.plans.asof import AS_OF
 from tidewatch.plans.registry import registry
@@ -23,12 +25,39 @@ def r6(x, name):
 # --- normalisation ---------------------------------------------------------------------------------------------------
 
 
-@query("canonicalise_events", f"""WITH {T.EVENTS} SELECT event_id, entity_key, week, available_week, (coalesce(onset_date > notification_date, FALSE) OR coalesce(notification_date > publication_date, FALSE)) AS inconsistent,
-CASE WHEN notification_date - onset_date BETWEEN 0 AND 365 THEN notification_date - onset_date END AS delay_days FROM ev""")
+_CHAIN = ("onset_date", "suspicion_date", "confirmation_date", "notification_date", "publication_date", "resolved_date")
+_RAW = f"""raw AS (SELECT DISTINCT upper(trim(event_id)) AS event_id, upper(trim(country_iso3)) AS country, disease, disease_raw, cases, deaths, {', '.join(f"CASE WHEN {x} {T._OK} THEN {x} END AS {x}" for x in (*_CHAIN, 'reference_date', 'available_from'))} FROM canonical_events WHERE trim(event_id) <> ''),
+dsl AS (SELECT DISTINCT disease AS l FROM raw UNION SELECT DISTINCT disease_raw FROM raw), dsf AS (SELECT l, trim(regexp_replace(lower(strip_accents(l)), '[^a-z0-9]+', ' ', 'g')) AS f FROM dsl WHERE l IS NOT NULL),
+dsm AS (SELECT l, f, list_filter([CASE WHEN (regexp_matches(f, '\\bhpai\\b') OR (f LIKE '%high pathogenicity%' AND f LIKE '%influenza%') OR (f LIKE '%highly pathogenic%' AND f LIKE '%avian influenza%') OR regexp_matches(f, '\\b(avian influenza|bird flu|h5n1|h5n8|h5nx|grippe aviaire|high path ai)\\b')) AND NOT (f LIKE '%low pathogenicity%' OR regexp_matches(f, '\\blpai\\b')) THEN 'HPAI' END,
+ CASE WHEN (regexp_matches(f, '\\basf\\b') OR regexp_matches(f, 'african swine fever|swine fever african|peste porcine africaine|peste porcina africana|peste porcine afr\\b')) AND NOT (f LIKE '%classical swine fever%' OR regexp_matches(f, '\\bcsf\\b') OR f LIKE '%hog cholera%') THEN 'ASF' END,
+ CASE WHEN regexp_matches(f, '\\bfmd\\b|fievre aphteuse') OR (f LIKE '%foot%' AND f LIKE '%mouth%') THEN 'FMD' END, CASE WHEN regexp_matches(f, '\\blsd\\b|lumpy skin|dermatose nodulaire') THEN 'LSD' END, CASE WHEN regexp_matches(f, '\\bppr\\b|peste des petits ruminants|small ruminant plague') THEN 'PPR' END], lambda x: x IS NOT NULL) AS m FROM dsf),
+dsr AS (SELECT l, CASE WHEN upper(trim(l)) IN ('HPAI', 'ASF', 'FMD', 'LSD', 'PPR') THEN upper(trim(l)) WHEN len(m) = 1 THEN m[1] END AS category FROM dsm),
+rs AS (SELECT raw.*, CASE WHEN regexp_full_match(country, '[A-Z]{{3}}') THEN country END AS iso3, coalesce(a.category, b.category) AS dis, {' OR '.join(f'coalesce({x} > {y}, FALSE)' for x, y in zip(_CHAIN, _CHAIN[1:]))} AS inconsistent FROM raw LEFT JOIN dsr a ON a.l = raw.disease LEFT JOIN dsr b ON b.l = raw.disease_raw)"""
+
+
+def _resolved(spark, d):
+    """Distinct event rows with resolved country and disease and the flag of a broken timeline (adjacent columns)."""
+    dates = [date_value(c(x)).alias(x) for x in (*_CHAIN, "reference_date", "available_from")]
+    raw = table(spark, d, "canonical_events").where(F.trim("event_id") != "").select(code(c("event_id")).alias("event_id"), code(c("country_iso3")).alias("country"), "disease", "disease_raw", "cases", "deaths", *dates).distinct()
+    bad = F.lit(False)
+    for x, y in zip(_CHAIN, _CHAIN[1:]):
+        bad = bad | F.coalesce(c(x) > c(y), F.lit(False))
+    return raw.select("*", F.when(c("country").rlike("^[A-Z]{3}$"), c("country")).alias("iso3"), F.coalesce(labels.disease_of(c("disease")), labels.disease_of(c("disease_raw"))).alias("dis"), bad.alias("inconsistent"))
+
+
+@query("canonicalise_events", f"""WITH {_RAW} SELECT event_id, iso3 || '|' || dis AS entity_key, CAST(date_trunc('week', reference_date) AS DATE) AS week, CAST(date_trunc('week', available_from) AS DATE) AS available_week, inconsistent,
+ CASE WHEN notification_date - onset_date BETWEEN 0 AND 365 THEN notification_date - onset_date END AS reporting_delay, CASE WHEN suspicion_date - onset_date BETWEEN 0 AND 365 THEN suspicion_date - onset_date END AS detection_delay, CASE WHEN publication_date - notification_date BETWEEN 0 AND 365 THEN publication_date - notification_date END AS publication_delay,
+ CASE WHEN cases >= 0 THEN cases END AS cases, CASE WHEN deaths >= 0 THEN deaths END AS deaths FROM rs WHERE iso3 IS NOT NULL AND dis IS NOT NULL AND available_from IS NOT NULL""")
 def canonicalise_events(spark, d):
-    delay = F.datediff("notification_date", "onset_date")
-    bad = F.coalesce(c("onset_date") > c("notification_date"), F.lit(False)) | F.coalesce(c("notification_date") > c("publication_date"), F.lit(False))
-    return T.events(spark, d).select("event_id", "entity_key", "week", "available_week", bad.alias("inconsistent"), F.when(delay.between(0, 365), delay).alias("delay_days"))
+    """Event rows of resolved country and disease with known availability; delays outside [0, 365] and negative counts null."""
+    kept = _resolved(spark, d).where("iso3 is not null and dis is not null and available_from is not null")
+    lag = lambda a, b: F.when(F.datediff(a, b).between(0, 365), F.datediff(a, b))
+    week = lambda x: F.date_trunc("week", x).cast("date")
+    return kept.select(
+        "event_id", F.concat_ws("|", "iso3", "dis").alias("entity_key"), week("reference_date").alias("week"), week("available_from").alias("available_week"), "inconsistent",
+        lag("notification_date", "onset_date").alias("reporting_delay"), lag("suspicion_date", "onset_date").alias("detection_delay"), lag("publication_date", "notification_date").alias("publication_delay"),
+        F.when(c("cases") >= 0, c("cases")).alias("cases"), F.when(c("deaths") >= 0, c("deaths")).alias("deaths"),
+    )
 
 
 @query("canonicalise_signals", f"WITH {T.SIGNALS} SELECT signal_id, entity_key, week, value FROM sg WHERE available_from >= reference_date")
@@ -41,24 +70,39 @@ def canonicalise_covariates(spark, d):
     return T.covariates(spark, d).select("covariate_id", "country", "reference_date", "value")
 
 
-@query("quality_report", f"""WITH {T.EVENTS}, q AS (SELECT count(*) AS records_in, count(*) FILTER (WHERE onset_date > notification_date) AS chain_violations, count(*) FILTER (WHERE deaths > cases) AS deaths_over_cases, count(*) FILTER (WHERE publication_date IS NULL) AS no_publication FROM ev)
-SELECT issue, n_records FROM (UNPIVOT q ON records_in, chain_violations, deaths_over_cases, no_publication INTO NAME issue VALUE n_records)""")
+@query("quality_report", f"""WITH {_RAW}, q AS (SELECT count(*) AS records_in, count(*) FILTER (WHERE iso3 IS NOT NULL AND dis IS NOT NULL AND available_from IS NOT NULL) AS records_out, count(*) FILTER (WHERE iso3 IS NULL) AS unresolved_country, count(*) FILTER (WHERE dis IS NULL) AS unresolved_disease, count(*) FILTER (WHERE available_from IS NULL) AS no_availability,
+ count(*) FILTER (WHERE inconsistent) AS chain_violations, count(*) FILTER (WHERE cases < 0 OR deaths < 0) AS negative_counts, count(*) FILTER (WHERE cases >= 0 AND deaths > cases) AS deaths_over_cases FROM rs)
+SELECT 'events' AS stage, issue, n_records FROM (UNPIVOT q ON COLUMNS(*) INTO NAME issue VALUE n_records)""")
 def quality_report(spark, d):
-    one = T.events(spark, d).agg(F.count("*").alias("records_in"), F.count_if(c("onset_date") > c("notification_date")).alias("chain_violations"), F.count_if(c("deaths") > c("cases")).alias("deaths_over_cases"), F.count_if(c("publication_date").isNull()).alias("no_publication"))
-    return one.unpivot([], one.columns, "issue", "n_records")
+    r = _resolved(spark, d)
+    one = r.agg(
+        F.count("*").alias("records_in"), F.count_if(c("iso3").isNotNull() & c("dis").isNotNull() & c("available_from").isNotNull()).alias("records_out"), F.count_if(c("iso3").isNull()).alias("unresolved_country"), F.count_if(c("dis").isNull()).alias("unresolved_disease"),
+        F.count_if(c("available_from").isNull()).alias("no_availability"), F.count_if("inconsistent").alias("chain_violations"), F.count_if((c("cases") < 0) | (c("deaths") < 0)).alias("negative_counts"), F.count_if((c("cases") >= 0) & (c("deaths") > c("cases"))).alias("deaths_over_cases"),
+    )
+    return one.unpivot([], one.columns, "issue", "n_records").select(F.lit("events").alias("stage"), "issue", "n_records")
 
 
-@query("panel_filter", f"WITH {T.EVENTS} SELECT event_id FROM ev WHERE country IN (SELECT country FROM ev GROUP BY 1 HAVING count(*) >= 50) AND disease IN ('HPAI', 'FMD')")
+@query("panel_filter", f"WITH {T.EVENTS}, {T.PLACES} SELECT event_id FROM ev WHERE country IN (SELECT country FROM pl WHERE lat IS NOT NULL) AND disease IN ('HPAI', 'ASF') AND reference_date <= DATE '2024-12-31'")
 def panel_filter(spark, d):
-    ev = T.events(spark, d)
-    panel = ev.groupBy("country").count().where("count >= 50")
-    return ev.where(c("disease").isin("HPAI", "FMD")).join(panel, "country", "left_semi").select("event_id")
+    """Events of the panel: countries of the dimension, configured diseases, dates up to the cut-off."""
+    panel = T.places(spark, d).where("lat is not null").select("country")
+    return T.events(spark, d).where(c("disease").isin(*ENVIRONMENT) & (c("reference_date") <= pit.day("2024-12-31"))).join(panel, "country", "left_semi").select("event_id")
+
 
+_FIRST = ("report_type", "report_number", "event_status", "country_iso3", "disease", "disease_raw", "serotype", "host_category", "country_name", "admin1", "locality", "latitude", "longitude", "onset_date", "suspicion_date", "confirmation_date", "notification_date", "resolved_date")
 
-@query("collapse_reports", """SELECT upper(trim(event_id)) AS event_id, arg_min(report_type, struct_pack(n := report_number, t := report_type)) AS first_report, string_agg(DISTINCT lower(trim(species)), ';' ORDER BY lower(trim(species))) AS species, max(report_number) AS last_number FROM canonical_events WHERE report_number IS NOT NULL AND report_type IS NOT NULL GROUP BY 1""")
+
+@query("collapse_reports", f"""WITH r AS (SELECT DISTINCT upper(trim(event_id)) AS id, species, publication_date AS pub, {', '.join(_FIRST)}, susceptible, cases, deaths, killed_disposed FROM canonical_events WHERE trim(event_id) <> '')
+SELECT id AS event_id, {', '.join(f"arg_min({x}, struct_pack(a := coalesce(pub, DATE '9999-12-31'), b := coalesce(report_number, 2147483647), v := CAST({x} AS VARCHAR))) FILTER (WHERE {x} IS NOT NULL) AS {x}" for x in _FIRST)},
+ coalesce(string_agg(DISTINCT lower(trim(species)), ';' ORDER BY lower(trim(species))), '') AS species, max(CAST(lower(trim(species)) LIKE 'wild%' AS INT)) AS is_wild, {', '.join(f'CAST(sum({x}) AS BIGINT) AS {x}' for x in ('susceptible', 'cases', 'deaths', 'killed_disposed'))} FROM r GROUP BY 1""")
 def collapse_reports(spark, d):
-    e = table(spark, d, "canonical_events").where(c("report_number").isNotNull() & c("report_type").isNotNull())
-    return e.groupBy(code(c("event_id")).alias("event_id")).agg(F.min_by("report_type", F.struct("report_number", "report_type")).alias("first_report"), F.array_join(F.array_sort(F.collect_set(F.lower(F.trim("species")))), ";").alias("species"), F.max("report_number").alias("last_number"))
+    """One row per outbreak of its distinct deliveries: the first non-missing value of every attribute in the order of
+    publication, all species, wild or not, and summed magnitudes."""
+    more = ("susceptible", "cases", "deaths", "killed_disposed")
+    r = table(spark, d, "canonical_events").where(F.trim("event_id") != "").select(code(c("event_id")).alias("id"), F.lower(F.trim("species")).alias("kind"), "publication_date", *_FIRST, *more).distinct()
+    late = F.coalesce("publication_date", F.lit("9999-12-31").cast("date"))
+    first = lambda x: F.min_by(x, F.when(c(x).isNotNull(), F.struct(late.alias("a"), F.coalesce("report_number", F.lit(2147483647)).alias("b"), c(x).cast("string").alias("v")))).alias(x)
+    return r.groupBy(c("id").alias("event_id")).agg(*(first(x) for x in _FIRST), F.array_join(F.array_sort(F.collect_set("kind")), ";").alias("species"), F.max(c("kind").startswith("wild").cast("int")).alias("is_wild"), *(F.sum(x).alias(x) for x in more))
 
 
 @query("delay_reliability", f"""WITH {T.EVENTS} SELECT event_id, least(onset_date, publication_date) AS onset, CASE WHEN publication_date - least(onset_date, publication_date) BETWEEN 0 AND 60 THEN least(onset_date, publication_date) ELSE publication_date END AS modelling_onset FROM ev WHERE publication_date IS NOT NULL AND onset_date IS NOT NULL""")
@@ -68,34 +112,43 @@ def delay_reliability(spark, d):
     return e.select("event_id", onset.alias("onset"), F.when(F.datediff("publication_date", onset).between(0, 60), onset).otherwise(c("publication_date")).alias("modelling_onset"))
 
 
-@query("string_fold", "SELECT DISTINCT disease_raw, trim(regexp_replace(lower(strip_accents(disease_raw)), '[^a-z0-9]+', ' ', 'g')) AS folded FROM canonical_events WHERE disease_raw IS NOT NULL")
+@query("string_fold", "SELECT DISTINCT disease_raw, trim(regexp_replace(lower(strip_accents(disease_raw)), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS folded FROM canonical_events WHERE disease_raw IS NOT NULL")
 def string_fold(spark, d):
-    plain = F.translate(F.lower("disease_raw"), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return table(spark, d, "canonical_events").where(c("disease_raw").isNotNull()).select("disease_raw", F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " ")).alias("folded")).distinct()
+    """Distinct labels, fully decomposed; folding runs once a label."""
+    return table(spark, d, "canonical_events").where(c("disease_raw").isNotNull()).select("disease_raw").distinct().select("disease_raw", labels.fold_all(c("disease_raw")).alias("folded"))
 
 
-@query("resolve_country", """WITH dim AS (SELECT DISTINCT lower(trim(country_name)) AS k, upper(trim(country_iso3)) AS iso3 FROM canonical_events WHERE country_name IS NOT NULL),
-one AS (SELECT k, min(iso3) AS iso3 FROM dim GROUP BY 1) SELECT f.row_id, coalesce(o.iso3, upper(trim(f.iso3))) AS iso3 FROM (SELECT DISTINCT row_id, country, iso3 FROM faostat_livestock_annual_sample) f LEFT JOIN one o ON o.k = lower(trim(f.country))""")
-def resolve_country(spark, d):
-    dim = table(spark, d, "canonical_events").where(c("country_name").isNotNull()).groupBy(F.lower(F.trim("country_name")).alias("k")).agg(F.min(code(c("country_iso3"))).alias("found"))
-    rows = table(spark, d, "faostat_livestock_annual_sample").select("row_id", "country", "iso3").distinct()
-    return rows.join(dim, F.lower(F.trim(rows["country"])) == dim["k"], "left").select("row_id", F.coalesce("found", code(c("iso3"))).alias("iso3"))
+_NAMES = "nm AS (SELECT trim(regexp_replace(lower(strip_accents(country_name)), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS k, min(upper(trim(country_iso3))) AS iso3 FROM canonical_events WHERE regexp_full_match(upper(trim(country_iso3)), '[A-Z]{3}') AND country_name IS NOT NULL GROUP BY 1 HAVING k <> '' AND count(DISTINCT upper(trim(country_iso3))) = 1), cds AS (SELECT DISTINCT upper(trim(country_iso3)) AS iso3 FROM canonical_events WHERE regexp_full_match(upper(trim(country_iso3)), '[A-Z]{3}'))"
 
 
-_GROUPS = (("HPAI", "hpai|avian|bird flu|aviaire|high path"), ("FMD", "fmd|foot|aphteuse"), ("ASF", "asf|swine|porcine"), ("LSD", "lsd|lumpy|nodulaire"), ("PPR", "ppr|ruminant"))
+@query("resolve_country", f"""WITH {_NAMES}, f AS (SELECT DISTINCT row_id, country, iso3 FROM faostat_livestock_annual_sample)
+SELECT row_id, country, coalesce(c.iso3, x.iso3, n.iso3) AS iso3 FROM f LEFT JOIN cds c ON c.iso3 = upper(trim(f.iso3)) LEFT JOIN cds x ON x.iso3 = upper(trim(f.country)) LEFT JOIN nm n ON n.k = trim(regexp_replace(lower(strip_accents(f.country)), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))""")
+def resolve_country(spark, d):
+    """Country codes of rows: the hint if it is a known code, else the text as a code, else an unambiguous name."""
+    e = table(spark, d, "canonical_events")
+    names = labels.country_names(e, "country_name", "country_iso3")
+    codes = e.select(code(c("country_iso3")).alias("known")).where(c("known").rlike("^[A-Z]{3}$")).distinct()
+    rows = table(spark, d, "faostat_livestock_annual_sample").select("row_id", "country", "iso3").distinct()
+    as_code = lambda x, name: codes.select(c("known").alias(x), c("known").alias(name))
+    keyed = rows.select("row_id", "country", code(c("iso3")).alias("h"), code(c("country")).alias("t"), labels.fold(c("country")).alias("folded"))
+    found = keyed.join(as_code("h", "by_hint"), "h", "left").join(as_code("t", "by_text"), "t", "left").join(names.withColumnRenamed("iso3", "by_name"), "folded", "left")
+    return found.select("row_id", "country", F.coalesce("by_hint", "by_text", "by_name").alias("iso3"))
 
 
-@query("resolve_category", "SELECT DISTINCT disease_raw, CASE WHEN n = 1 THEN cat END AS category FROM (SELECT disease_raw, len(m) AS n, m[1] AS cat FROM (SELECT disease_raw, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(disease_raw), '{p}') THEN '{g}' END" for g, p in _GROUPS) + "], lambda x: x IS NOT NULL) AS m FROM canonical_events WHERE disease_raw IS NOT NULL))")
+@query("resolve_category", f"WITH {_RAW} SELECT DISTINCT disease_raw, category FROM raw LEFT JOIN dsr ON l = disease_raw WHERE disease_raw IS NOT NULL")
 def resolve_category(spark, d):
-    hits = F.filter(F.array(*(F.when(F.lower("disease_raw").rlike(p), F.lit(g)) for g, p in _GROUPS)), lambda x: x.isNotNull())
-    return table(spark, d, "canonical_events").where(c("disease_raw").isNotNull()).select("disease_raw", F.when(F.size(hits) == 1, F.get(hits, F.lit(0))).alias("category")).distinct()
+    """Disease codes of labels: exact code, else the only disease whose keyword groups match and whose negatives don't."""
+    return table(spark, d, "canonical_events").where(c("disease_raw").isNotNull() & (F.trim("event_id") != "")).select("disease_raw").distinct().select("disease_raw", labels.disease_of(c("disease_raw")).alias("category"))
 
 
-@query("unresolved_report", "SELECT species AS label, count(*) AS n FROM canonical_events WHERE species IS NOT NULL AND lower(trim(species)) NOT IN (SELECT DISTINCT lower(trim(item)) FROM faostat_livestock_annual_sample WHERE item IS NOT NULL) GROUP BY 1")
+@query("unresolved_report", f"WITH {_RAW} SELECT 'country' AS kind, country AS label, count(*) AS n FROM rs WHERE iso3 IS NULL GROUP BY 2 UNION ALL SELECT 'disease', coalesce(disease, disease_raw), count(*) FROM rs WHERE dis IS NULL GROUP BY 2 UNION ALL SELECT 'species', lower(trim(species)), count(*) FROM canonical_events WHERE species IS NOT NULL AND lower(trim(species)) NOT IN (SELECT DISTINCT lower(trim(item)) FROM faostat_livestock_annual_sample WHERE item IS NOT NULL) GROUP BY 2")
 def unresolved_report(spark, d):
-    known = table(spark, d, "faostat_livestock_annual_sample").select(F.lower(F.trim("item")).alias("k")).distinct()
-    e = table(spark, d, "canonical_events").where(c("species").isNotNull())
-    return e.join(known, F.lower(F.trim(e["species"])) == known["k"], "left_anti").groupBy(c("species").alias("label")).agg(F.count("*").alias("n"))
+    """How often each label of a country, disease or species couldn't be resolved."""
+    r = _resolved(spark, d)
+    count = lambda f, kind, label: f.groupBy(label.alias("label")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "label", "n")
+    known = table(spark, d, "faostat_livestock_annual_sample").select(F.lower(F.trim("item")).alias("k")).where(c("k").isNotNull()).distinct()
+    species = table(spark, d, "canonical_events").where(c("species").isNotNull()).select(F.lower(F.trim("species")).alias("k")).join(known, "k", "left_anti")
+    return count(r.where("iso3 is null"), "country", c("country")).unionByName(count(r.where("dis is null"), "disease", F.coalesce("disease", "disease_raw"))).unionByName(count(species, "species", c("k")))
 
 
 @query("constraint_violations", "SELECT count(*) FILTER (WHERE abs(latitude) > 90 OR abs(longitude) > 180) AS bad_place, count(*) FILTER (WHERE cases < 0) AS negative_cases, count(*) FILTER (WHERE available_from < publication_date) AS early, count(*) FILTER (WHERE deaths > cases AND cases >= 0) AS more_deaths FROM canonical_events")
@@ -103,9 +156,13 @@ def constraint_violations(spark, d):
     return table(spark, d, "canonical_events").agg(F.count_if((F.abs("latitude") > 90) | (F.abs("longitude") > 180)).alias("bad_place"), F.count_if(c("cases") < 0).alias("negative_cases"), F.count_if(c("available_from") < c("publication_date")).alias("early"), F.count_if((c("deaths") > c("cases")) & (c("cases") >= 0)).alias("more_deaths"))
 
 
-@query("regex_extract_pivot", "SELECT DISTINCT variable, regexp_extract(variable, '_([a-z0-9]+)$', 1) AS suffix FROM covariate_records WHERE variable IS NOT NULL")
+@query("regex_extract_pivot", f"WITH {T.COVARIATES} SELECT country, month(reference_date) AS month, round(avg(value) FILTER (WHERE variable = 't2m_mean_c'), 6) AS t2m_mean_c, round(avg(value) FILTER (WHERE variable = 'total_precipitation_mm'), 6) AS total_precipitation_mm FROM cv WHERE variable IN ('t2m_mean_c', 'total_precipitation_mm') GROUP BY 1, 2")
 def regex_extract_pivot(spark, d):
-    return table(spark, d, "covariate_records").where(c("variable").isNotNull()).select("variable", F.regexp_extract("variable", "_([a-z0-9]+)$", 1).alias("suffix")).distinct()
+    """Normals whose variable name holds quantity and month (worldclim_<quantity>_m<month>), taken apart and pivoted."""
+    named = T.covariates(spark, d).select("country", F.format_string("worldclim_%s_m%02d", "variable", F.month("reference_date")).alias("name"), "value")
+    parts = named.select("country", F.regexp_extract("name", "^worldclim_([a-z0-9_]+)_m(\\d{2})$", 1).alias("quantity"), F.regexp_extract("name", "^worldclim_([a-z0-9_]+)_m(\\d{2})$", 2).cast("int").alias("month"), "value")
+    wide = parts.where(c("quantity").isin("t2m_mean_c", "total_precipitation_mm")).groupBy("country", "month").pivot("quantity", ["t2m_mean_c", "total_precipitation_mm"]).agg(F.round(F.avg("value"), 6))
+    return wide
 
 
 # --- joins -----------------------------------------------------------------------------------------------------------
@@ -115,8 +172,10 @@ _NORMALS = f"WITH {T.COVARIATES}, n AS (SELECT country, month(reference_date) AS
 
 @query("join_climatology", _NORMALS + " SELECT covariate_id, round(value - normal, 6) AS anomaly FROM cv JOIN n ON n.country = cv.country AND n.m = month(reference_date) WHERE variable = 't2m_mean_c'")
 def join_climatology(spark, d):
+    """Anomalies against the month's normal: aggregated, then joined back, so that no month is one task."""
     cv = T.covariates(spark, d).where(c("variable") == "t2m_mean_c").withColumn("m", F.month("reference_date"))
-    return cv.select("covariate_id", r6(c("value") - F.avg("value").over(W.partitionBy("country", "m")), "anomaly"))
+    normal = cv.groupBy("country", "m").agg(F.avg("value").alias("normal"))
+    return cv.join(normal, ["country", "m"]).select("covariate_id", r6(c("value") - c("normal"), "anomaly"))
 
 
 @query("join_semi", f"WITH {T.EVENTS}, {T.SIGNALS} SELECT DISTINCT entity_key FROM ev WHERE EXISTS (SELECT 1 FROM sg WHERE sg.entity_key = ev.entity_key)")
@@ -124,9 +183,12 @@ def join_semi(spark, d):
     return T.events(spark, d).select("entity_key").distinct().join(T.signals(spark, d).select("entity_key").distinct(), "entity_key", "left_semi")
 
 
-@query("join_anti", f"WITH {T.EVENTS}, {T.SIGNALS} SELECT DISTINCT entity_key FROM ev WHERE NOT EXISTS (SELECT 1 FROM sg WHERE sg.entity_key = ev.entity_key)")
+@query("join_anti", "WITH ids AS (SELECT DISTINCT upper(trim(event_id)) AS id FROM canonical_events WHERE event_id IS NOT NULL), l AS (SELECT DISTINCT regexp_replace(upper(trim(a)), '^.*::\\s*', '') AS id FROM linkage_decisions UNION SELECT DISTINCT regexp_replace(upper(trim(b)), '^.*::\\s*', '') FROM linkage_decisions) SELECT id FROM l WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM ids)")
 def join_anti(spark, d):
-    return T.events(spark, d).select("entity_key").distinct().join(T.signals(spark, d).select("entity_key").distinct(), "entity_key", "left_anti")
+    """Ids of linkage decisions that no event bears."""
+    bare = lambda x: F.regexp_replace(code(c(x)), "^.*::\\s*", "").alias("id")
+    l = table(spark, d, "linkage_decisions")
+    return l.select(bare("a")).unionByName(l.select(bare("b"))).where(c("id").isNotNull()).distinct().join(table(spark, d, "canonical_events").select(code(c("event_id")).alias("id")), "id", "left_anti")
 
 
 @query("join_left_assemble", f"WITH {T.EVENTS}, {T.SIGNALS}, a AS (SELECT entity_key, CAST(sum(outbreaks) AS BIGINT) AS outbreaks FROM ev GROUP BY 1), b AS (SELECT entity_key, count(*) AS n_signals FROM sg GROUP BY 1) SELECT entity_key, outbreaks, coalesce(n_signals, 0) AS n_signals FROM a LEFT JOIN b USING (entity_key)")
@@ -189,8 +251,10 @@ def count_distinct(spark, d):
 
 @query("lead_quantiles", f"WITH {T.EVENTS} SELECT disease, median(available_from - reference_date) AS p50, round(quantile_cont(available_from - reference_date, 0.9), 6) AS p90, round(quantile_cont(available_from - reference_date, 0.25), 6) AS p25 FROM ev GROUP BY 1")
 def lead_quantiles(spark, d):
-    lag = F.datediff("available_from", "reference_date")
-    return T.events(spark, d).groupBy("disease").agg(F.median(lag).alias("p50"), r6(F.percentile(lag, F.lit(0.9)), "p90"), r6(F.percentile(lag, F.lit(0.25)), "p25"))
+    """Exact quantiles of whole-day lags: counted per lag first, so that a disease is a few hundred rows."""
+    lags = T.events(spark, d).groupBy("disease", F.datediff("available_from", "reference_date").alias("lag")).agg(F.count("*").alias("n"))
+    at = lambda q: F.percentile("lag", F.lit(q), c("n"))
+    return lags.groupBy("disease").agg(at(0.5).alias("p50"), r6(at(0.9), "p90"), r6(at(0.25), "p25"))
 
 
 @query("pivot_covariates", f"WITH {T.COVARIATES} SELECT country, reference_date, arg_max(value, struct_pack(a := available_from, i := covariate_id)) FILTER (WHERE variable = 't2m_mean_c') AS t2m_mean_c, arg_max(value, struct_pack(a := available_from, i := covariate_id)) FILTER (WHERE variable = 'snow_depth_m') AS snow_depth_m FROM cv GROUP BY 1, 2")
@@ -219,7 +283,9 @@ def emit_weekly_signals(spark, d):
 
 @query("prediction_summary", f"WITH {T.EVENTS} SELECT count(*) AS n, min(reference_date) AS first_date, max(reference_date) AS last_date, round(avg(cases), 6) AS mean_cases, median(cases) AS median_cases FROM ev")
 def prediction_summary(spark, d):
-    return T.events(spark, d).agg(F.count("*").alias("n"), F.min("reference_date").alias("first_date"), F.max("reference_date").alias("last_date"), r6(F.avg("cases"), "mean_cases"), F.median("cases").alias("median_cases"))
+    by = T.events(spark, d).groupBy("cases").agg(F.count("*").alias("n"), F.min("reference_date").alias("a"), F.max("reference_date").alias("b"))
+    some = F.when(c("cases").isNotNull(), c("n"))
+    return by.agg(F.sum("n").alias("n"), F.min("a").alias("first_date"), F.max("b").alias("last_date"), r6(F.sum(c("cases") * c("n")) / F.sum(some), "mean_cases"), F.percentile("cases", F.lit(0.5), c("n")).alias("median_cases"))
 
 
 # --- windows and recurrences -----------------------------------------------------------------------------------------
@@ -299,22 +365,24 @@ def rolling_mean_diff(spark, d):
     return T.series(spark, d).select("entity_key", "week", r6(F.avg("y").over(w.rowsBetween(-3, 0)), "mean_4"), F.coalesce(c("y") - F.lag("y", 4).over(w), F.lit(0.0)).alias("diff_4"))
 
 
-_STOCK = "WITH s AS (SELECT upper(trim(iso3)) AS country, lower(trim(item)) AS item, year, max(row_id) AS row_id, max(value) AS value FROM faostat_livestock_annual_sample WHERE value > 0 AND NOT isnan(value) AND lower(element) LIKE '%stock%' GROUP BY 1, 2, 3)"
+_STOCK = f"WITH s AS (SELECT upper(trim(iso3)) AS country, lower(trim(item)) AS item, year, max(row_id) AS row_id, max(value) AS value FROM faostat_livestock_annual_sample WHERE value > 0 AND NOT isnan(value) AND lower(element) LIKE '%stock%' GROUP BY 1, 2, 3), v AS (SELECT lower(trim(item)) AS item, CASE WHEN release_date {T._OK} THEN release_date END AS release, row_id, max(value) AS value FROM faostat_livestock_annual_sample WHERE value > 0 AND NOT isnan(value) AND lower(element) LIKE '%stock%' GROUP BY 1, 2, 3)"
 
 
-def _stocks(spark, d):
-    f = table(spark, d, "faostat_livestock_annual_sample").where((c("value") > 0) & ~F.isnan("value") & F.lower("element").contains("stock"))
-    return f.groupBy(code(c("iso3")).alias("country"), F.lower(F.trim("item")).alias("item"), "year").agg(F.max("row_id").alias("row_id"), F.max("value").alias("value"))
+def _stock_rows(spark, d):
+    return table(spark, d, "faostat_livestock_annual_sample").where((c("value") > 0) & ~F.isnan("value") & F.lower("element").contains("stock"))
 
 
 @query("stock_trend", _STOCK + " SELECT country, item, year, round(coalesce(ln(value) - lag(ln(value)) OVER (PARTITION BY country, item ORDER BY year), 0), 6) AS trend FROM s")
 def stock_trend(spark, d):
-    return _stocks(spark, d).select("country", "item", "year", r6(F.coalesce(F.log("value") - F.lag(F.log("value")).over(W.partitionBy("country", "item").orderBy("year")), F.lit(0.0)), "trend"))
+    s = _stock_rows(spark, d).groupBy(code(c("iso3")).alias("country"), F.lower(F.trim("item")).alias("item"), "year").agg(F.max("value").alias("value"))
+    return s.select("country", "item", "year", r6(F.coalesce(F.log("value") - F.lag(F.log("value")).over(W.partitionBy("country", "item").orderBy("year")), F.lit(0.0)), "trend"))
 
 
-@query("pct_rank_avg", _STOCK + " SELECT row_id, round((rank() OVER (PARTITION BY item ORDER BY value) + (count(*) OVER (PARTITION BY item, value) - 1) / 2.0) / count(*) OVER (PARTITION BY item), 6) AS pct FROM s")
+@query("pct_rank_avg", _STOCK + " SELECT row_id, release, round((rank() OVER (PARTITION BY item, release ORDER BY value) + (count(*) OVER (PARTITION BY item, release, value) - 1) / 2.0) / count(*) OVER (PARTITION BY item, release), 6) AS pct FROM v WHERE release IS NOT NULL")
 def pct_rank_avg(spark, d):
-    return _stocks(spark, d).select("row_id", r6(series.average_rank_share("value", "item"), "pct"))
+    """Average rank share within a release of an item; ranks are made over the distinct values of a release."""
+    v = _stock_rows(spark, d).groupBy(F.lower(F.trim("item")).alias("item"), date_value(c("release_date")).alias("release"), "row_id").agg(F.max("value").alias("value")).where("release is not null")
+    return v.join(series.rank_shares(v, ["item", "release"], "value", "pct"), ["item", "release", "value"]).select("row_id", "release", r6(c("pct"), "pct"))
 
 
 @query("episodes", f"WITH {T.EVENTS}, n AS (SELECT DISTINCT entity_key, reference_date AS rd FROM ev), w AS (SELECT *, CASE WHEN rd - lag(rd) OVER (PARTITION BY entity_key ORDER BY rd) < 56 THEN 0 ELSE 1 END AS new FROM n) SELECT entity_key, rd, CAST(sum(new) OVER (PARTITION BY entity_key ORDER BY rd) AS BIGINT) AS episode FROM w")
@@ -323,11 +391,12 @@ def episodes(spark, d):
     return series.episodes(n, "entity_key", "rd")
 
 
-@query("dedup_suffix", "SELECT upper(trim(event_id)) || '#' || CAST(row_number() OVER (PARTITION BY upper(trim(event_id)) ORDER BY publication_date, cases) - 1 AS VARCHAR) AS key FROM (SELECT DISTINCT event_id, publication_date, cases FROM canonical_events WHERE publication_date IS NOT NULL AND cases IS NOT NULL)")
+@query("dedup_suffix", "SELECT upper(trim(event_id)) || '#' || CAST(row_number() OVER (PARTITION BY upper(trim(event_id)) ORDER BY publication_date NULLS FIRST, cases NULLS FIRST) - 1 AS VARCHAR) AS key, publication_date, cases FROM (SELECT DISTINCT upper(trim(event_id)) AS event_id, publication_date, cases FROM canonical_events WHERE event_id IS NOT NULL)")
 def dedup_suffix(spark, d):
-    e = table(spark, d, "canonical_events").where(c("publication_date").isNotNull() & c("cases").isNotNull()).select(code(c("event_id")).alias("k"), "publication_date", "cases").distinct()
-    n = F.row_number().over(W.partitionBy("k").orderBy("publication_date", "cases")) - 1
-    return e.select(F.concat_ws("#", "k", n.cast("string")).alias("key"))
+    """Unique keys of all distinct deliveries of a record, numbered by publication and cases (missing ones first)."""
+    e = table(spark, d, "canonical_events").where(c("event_id").isNotNull()).select(code(c("event_id")).alias("k"), "publication_date", "cases").distinct()
+    n = F.row_number().over(W.partitionBy("k").orderBy(c("publication_date").asc_nulls_first(), c("cases").asc_nulls_first())) - 1
+    return e.select(F.concat_ws("#", "k", n.cast("string")).alias("key"), "publication_date", "cases")
 
 
 # --- geography -------------------------------------------------------------------------------------------------------
@@ -341,16 +410,18 @@ def grid_cross(spark, d):
 # --- scalars, decisions, scores --------------------------------------------------------------------------------------
 
 
-@query("math_transforms", f"WITH {T.EVENTS} SELECT event_id, round(ln(greatest(cases + 1, 1e-9)), 6) AS safe_log, round(1 / (1 + exp(-cases / 100.0)), 6) AS expit FROM ev WHERE cases IS NOT NULL")
+@query("math_transforms", f"WITH {T.EVENTS} SELECT event_id, round(ln(greatest(cases + 1, 1e-9)), 6) AS safe_log, round(1 / (1 + exp(-cases / 100.0)), 6) AS expit, round(ln(q / (1 - q)), 6) AS logit, round(exp(least(cases, 20) / 10.0) - 1, 6) AS expm1, round(sqrt(cases), 6) AS root FROM (SELECT *, least(1 - 1e-6, greatest(1e-6, cases / 1000.0)) AS q FROM ev WHERE cases IS NOT NULL)")
 def math_transforms(spark, d):
-    return T.events(spark, d).where("cases is not null").select("event_id", r6(F.log(F.greatest(c("cases") + 1.0, F.lit(1e-9))), "safe_log"), r6(1 / (1 + F.exp(-c("cases") / 100.0)), "expit"))
+    q = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), c("cases") / 1000.0))
+    return T.events(spark, d).where("cases is not null").select("event_id", r6(F.log(F.greatest(c("cases") + 1.0, F.lit(1e-9))), "safe_log"), r6(1 / (1 + F.exp(-c("cases") / 100.0)), "expit"), r6(F.log(q / (1 - q)), "logit"), r6(F.expm1(F.least(c("cases"), F.lit(20)) / 10.0), "expm1"), r6(F.sqrt("cases"), "root"))
 
 
 @query("minmax_scale", f"WITH {T.EVENTS} SELECT event_id, round(CASE WHEN max(cases) OVER w = min(cases) OVER w THEN 0 ELSE (cases - min(cases) OVER w) / (max(cases) OVER w - min(cases) OVER w)::DOUBLE END, 6) AS scaled FROM ev WHERE cases IS NOT NULL WINDOW w AS (PARTITION BY disease)")
 def minmax_scale(spark, d):
-    w = W.partitionBy("disease")
-    low, high = F.min("cases").over(w), F.max("cases").over(w)
-    return T.events(spark, d).where("cases is not null").select("event_id", r6(F.when(high == low, 0.0).otherwise((c("cases") - low) / (high - low)), "scaled"))
+    """Scaled to [0, 1] by disease; a constant group is 0. Bounds are aggregated and joined back."""
+    e = T.events(spark, d).where("cases is not null")
+    bounds = e.groupBy("disease").agg(F.min("cases").alias("low"), F.max("cases").alias("high"))
+    return e.join(bounds, "disease").select("event_id", r6(F.when(c("high") == c("low"), 0.0).otherwise((c("cases") - c("low")) / (c("high") - c("low"))), "scaled"))
 
 
 @query("fingerprint", "SELECT DISTINCT substring(sha1(source_name || '|' || record_id || '|' || coalesce(CAST(published_at AS VARCHAR), 'None')), 1, 12) AS fp, record_id FROM source_provenance WHERE source_name IS NOT NULL AND record_id IS NOT NULL")
@@ -368,9 +439,11 @@ def temporal_split(spark, d):
 # --- order, sets, serving --------------------------------------------------------------------------------------------
 
 
-@query("sort_multi", f"WITH {T.EVENTS} SELECT event_id, row_number() OVER (PARTITION BY entity_key ORDER BY available_from, event_id) AS place FROM ev")
+@query("sort_multi", f"WITH {T.EVENTS} SELECT event_id, row_number() OVER (ORDER BY entity_key, available_from, event_id) - 1 AS place FROM ev")
 def sort_multi(spark, d):
-    return T.events(spark, d).select("event_id", pit.by_latest(["entity_key"], c("available_from"), c("event_id")).alias("place"))
+    """Total order by several keys: range partitions with offsets, so that neither one entity nor all rows are one task."""
+    rows = T.events(spark, d).select("entity_key", "available_from", "event_id").withColumn("_1", F.lit(1))
+    return decide.prefix_sum(rows, ["entity_key", "available_from", "event_id"], "_1", "place").select("event_id", c("place").cast("long").alias("place"))
 
 
 @query("best_per_group", f"WITH {T.EVENTS} SELECT country, event_id, cases FROM ev WHERE cases IS NOT NULL QUALIFY row_number() OVER (PARTITION BY country ORDER BY cases DESC, event_id) = 1")

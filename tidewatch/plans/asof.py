@@ -82,8 +82,9 @@ def store_panel(spark, d):
 
 @query("availability_profile", f"WITH {T.SIGNALS} SELECT signal_name AS feature, median(available_from - reference_date) AS median_lag, max(available_from - reference_date) AS max_lag, count(*) AS n FROM sg GROUP BY 1")
 def availability_profile(spark, d):
-    lag = F.datediff("available_from", "reference_date")
-    return T.signals(spark, d).groupBy(F.col("signal_name").alias("feature")).agg(F.median(lag).alias("median_lag"), F.max(lag).alias("max_lag"), F.count("*").alias("n"))
+    """Lags of a feature: counted per whole day first, so that a feature is a few hundred rows."""
+    lags = T.signals(spark, d).groupBy(F.col("signal_name").alias("feature"), F.datediff("available_from", "reference_date").alias("lag")).agg(F.count("*").alias("n"))
+    return lags.groupBy("feature").agg(F.percentile("lag", F.lit(0.5), F.col("n")).alias("median_lag"), F.max("lag").alias("max_lag"), F.sum("n").alias("n"))
 
 
 @query("store_catalogue", f"WITH {T.SIGNALS} SELECT signal_name AS feature, count(DISTINCT entity_key) AS n_entities, string_agg(DISTINCT source_name, ';' ORDER BY source_name) AS sources FROM sg GROUP BY 1")
@@ -142,23 +143,6 @@ def panel_centroids(spark, d):
     return T.events(spark, d).groupBy("country").agg(F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"), F.count("lat").alias("n"))
 
 
-@query("json_flatten", "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events")
-def json_flatten(spark, d):
-    return table(spark, d, "events").select("event_id", F.from_json("props", "k int").getField("k").alias("k"))
-
-
-@query("label_relevance", "SELECT event_type, CASE WHEN event_type IN ('purchase', 'signup') THEN 0.85 WHEN event_type IN ('error', 'logout') THEN 0.15 ELSE 0.5 END::DOUBLE AS relevance, count(*) AS n FROM events GROUP BY 1, 2")
-def label_relevance(spark, d):
-    kind = F.array("event_type")
-    score = F.when(F.arrays_overlap(kind, F.array(F.lit("purchase"), F.lit("signup"))), 0.85).when(F.arrays_overlap(kind, F.array(F.lit("error"), F.lit("logout"))), 0.15).otherwise(0.5)
-    return table(spark, d, "events").groupBy("event_type", score.alias("relevance")).agg(F.count("*").alias("n"))
-
-
-@query("camel_split", "SELECT DISTINCT source_name, trim(regexp_replace(source_name, '([A-Z])', ' \\1', 'g')) AS words FROM signal_records")
-def camel_split(spark, d):
-    return table(spark, d, "signal_records").select("source_name", F.trim(F.regexp_replace("source_name", "([A-Z])", " $1")).alias("words")).distinct()
-
-
 @query("lead_time", f"""WITH {T.EVENTS}, n AS (SELECT DISTINCT entity_key, notification_date AS nd FROM ev WHERE notification_date IS NOT NULL),
 w AS (SELECT *, CASE WHEN nd - lag(nd) OVER (PARTITION BY entity_key ORDER BY nd) < 56 THEN 0 ELSE 1 END AS new FROM n),
 e AS (SELECT *, sum(new) OVER (PARTITION BY entity_key ORDER BY nd) AS episode FROM w),
@@ -229,8 +213,9 @@ def iso_calendar(spark, d):
     return table(spark, d, "signal_records").select(date_value(F.col("reference_date")).alias("day")).where("day is not null").distinct().select("day", F.expr("extract(yearofweek from day)").cast("int").alias("iso_year"), F.weekofyear("day").alias("iso_week"))
 
 
-@query("fourier_terms", "SELECT DISTINCT reference_date AS day, round(sin(2 * pi() * (reference_date - DATE '2020-01-06') / 7.0 / 52.18), 6) AS sin_1, round(cos(2 * pi() * (reference_date - DATE '2020-01-06') / 7.0 / 52.18), 6) AS cos_1 FROM signal_records WHERE reference_date IS NOT NULL")
+@query("fourier_terms", "SELECT DISTINCT reference_date AS day, " + ", ".join(f"round({fn}(2 * pi() * {k} * (reference_date - DATE '2020-01-06') / 7.0 / 52.18), 6) AS {fn}_{k}" for k in (1, 2) for fn in ("sin", "cos")) + " FROM signal_records WHERE reference_date IS NOT NULL")
 def fourier_terms(spark, d):
-    w = F.datediff("day", pit.day("2020-01-06")) / 7.0
+    """Two seasonal harmonics of each day, by weeks since 2020-01-06."""
+    turn = lambda k: 2 * F.pi() * k * (F.datediff("day", pit.day("2020-01-06")) / 7.0) / 52.18
     days = table(spark, d, "signal_records").select(F.col("reference_date").alias("day")).where("day is not null").distinct()
-    return days.select("day", F.round(F.sin(2 * F.pi() * w / 52.18), 6).alias("sin_1"), F.round(F.cos(2 * F.pi() * w / 52.18), 6).alias("cos_1"))
+    return days.select("day", *(F.round((F.sin if fn == "sin" else F.cos)(turn(k)), 6).alias(f"{fn}_{k}") for k in (1, 2) for fn in ("sin", "cos")))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import analytics, asof, core, decisions, features, modelling, serving, streams
+from tidewatch.plans import analytics, asof, core, decisions, features, ingest, modelling, serving, streams
 
-_MODULES = (core, asof, analytics, decisions, features, modelling, serving, streams)
+_MODULES = (core, asof, analytics, decisions, features, ingest, modelling, serving, streams)
 
 
 def queries() -> dict:

@@ -293,12 +293,12 @@ def lead_outcome(spark, d):
     return r.select("entity_key", out.alias("outcome"))
 
 
-@query("source_diversity", f"WITH {T.SIGNALS} SELECT entity_key, week, round(least(2.0, greatest(0.0, least(1.0, greatest(0.0, count(DISTINCT source_name) / greatest(count(*), 1)::DOUBLE)) * (1 + 0.18 * (count(DISTINCT signal_name) - 1)))), 6) AS diversity, round(least(2.0, greatest(-1.0, -avg(value) / 10)), 6) AS tone FROM sg GROUP BY 1, 2")
+@query("source_diversity", f"WITH {T.SIGNALS} SELECT entity_key, week, round(least(2.0, greatest(0.0, least(1.0, greatest(0.0, count(DISTINCT source_name) / greatest(count(*), 1)::DOUBLE)) * (1 + 0.18 * (count(DISTINCT signal_name) - 1)))), 6) AS diversity, round(least(2.0, greatest(-1.0, -CAST(sum(CAST(value AS DECIMAL(24, 6))) AS DOUBLE) / count(*) / 10)), 9) AS tone FROM sg GROUP BY 1, 2")
 def source_diversity(spark, d):
     """Distinct sources per item, raised by the number of kinds (which stand in for languages), and the clipped tone."""
     share = decide.clip(F.size(F.collect_set("source_name")) / F.greatest(F.count("*"), F.lit(1)), 0.0, 1.0)
     more = 1 + 0.18 * (F.size(F.collect_set("signal_name")) - 1)
-    return T.signals(spark, d).groupBy("entity_key", "week").agg(r6(decide.clip(share * more, 0.0, 2.0), "diversity"), r6(decide.clip(-F.avg("value") / 10, -1.0, 2.0), "tone"))
+    return T.signals(spark, d).groupBy("entity_key", "week").agg(r6(decide.clip(share * more, 0.0, 2.0), "diversity"), F.round(decide.clip(-F.sum(c("value").cast("decimal(24,6)")).cast("double") / F.count("*") / 10, -1.0, 2.0), 9).alias("tone"))
 
 
 @query("json_lookup", f"WITH {T.TRIANGLE}, {_PS} SELECT 'AHR-' || replace(entity_key, '|', '-') || '-{DECIDE}' AS alert_id, level, p FROM pred WHERE as_of = DATE '{DECIDE}' AND level = 'CRITICAL'")
