@@ -17,6 +17,7 @@ import re
 from decimal import ROUND_HALF_UP, Decimal
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 
 # The common unit of each quantity, and the element labels that name the quantity.
@@ -203,12 +204,32 @@ def convert(value: float | None, factor: Decimal) -> int:
     return int((Decimal(repr(float(value))) * factor).quantize(Decimal(1), ROUND_HALF_UP))
 
 
+def _rounded(values: np.ndarray, factors: np.ndarray, exact: list[Decimal | None]) -> np.ndarray:
+    """values * factors rounded half up. Doubles decide wherever their error can't reach the nearest half; the few products
+    near a half, and those beyond the exact integers, are done in decimals."""
+    product = values * factors
+    near = (np.abs(product - np.floor(product) - 0.5) <= np.abs(product) * 8e-15 + 1e-12) | (product >= 2.0**51)
+    out = np.floor(product + 0.5)
+    whole = out.astype(object)
+    for i in np.flatnonzero(near):
+        whole[i] = convert(values[i], exact[i])
+    whole[~near] = out[~near].astype(np.int64)
+    return whole
+
+
 def to_common(unit: pd.Series, element: pd.Series, note: pd.Series, value: pd.Series) -> pd.DataFrame:
-    """One Arrow batch: each distinct (unit, element, note) is segmented once."""
-    names: list[str | None] = []
-    values: list[int | None] = []
-    for u, e, n, v in zip(unit, element, note, value):
-        parsed = None if v is None or v != v or v < 0 or v == float("inf") else unit_of(u, e, n)
-        names.append(parsed and parsed[0])
-        values.append(parsed and convert(v, parsed[1]))
+    """One Arrow batch: each distinct (unit, element, note) is segmented once, values are converted as arrays."""
+    keys = pd.MultiIndex.from_arrays([unit.astype(object), element.astype(object), note.astype(object)])
+    codes, distinct = pd.factorize(keys)
+    told = [unit_of(*(None if x is None or x != x else x for x in key)) for key in distinct]
+    amounts = value.to_numpy(dtype=float)
+    with np.errstate(invalid="ignore"):
+        good = np.isfinite(amounts) & (amounts >= 0) & np.array([told[c] is not None for c in codes], dtype=bool)
+    names = np.full(len(codes), None, dtype=object)
+    values = np.full(len(codes), None, dtype=object)
+    at = np.flatnonzero(good)
+    if len(at):
+        names[at] = [told[c][0] for c in codes[at]]
+        factors = [told[c][1] for c in codes[at]]
+        values[at] = _rounded(amounts[at], np.array([float(f) for f in factors]), factors)
     return pd.DataFrame({"common_unit": pd.Series(names, dtype="object"), "common_value": pd.array(values, dtype="Int64")})

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tidewatch.functions.missing import FILLERS_SQL, NO_SCORE, code, count_value, date_value, id_value, score_value, text_value
 from tidewatch.operators import late, rolling, units, versions
-from tidewatch.session import table
+from tidewatch.session import checkpointed, shared_folder, table
 
 
 def entity_of(country: str = "country_iso3", disease: str = "disease"):
@@ -24,15 +24,24 @@ def _classified(spark: SparkSession, d: str) -> DataFrame:
     return late.classify(events.unionByName(signals))
 
 
+def _stored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(classified deliveries, partials read from the store after all loads). A load is a month of arrivals; all loads of the
+    history are appended in one pass."""
+    classified = checkpointed(_classified(spark, d))
+    store = late.Store(spark, shared_folder(spark, "p1-partials"))
+    store.append(classified, F.date_format("arrival_batch", "yyyy-MM"))
+    return classified, store.read()
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Records refused because their period had closed; see ``operators.late``."""
-    return late.refused(_classified(spark, d)).select("source_table", "record_id")
+    """Records that the store of partials refused because their period had closed; see ``operators.late``."""
+    classified, store = _stored(spark, d)
+    return late.refused_records(classified, store).select("source_table", "record_id")
 
 
 def p1_weekly(spark: SparkSession, d: str) -> DataFrame:
-    """Weekly counts per entity by event date, combined on read from the partials of all arrival batches."""
-    store = late.partials(_classified(spark, d))
-    return late.combine(store).select(
+    """Weekly counts per entity by event date, combined on read from the stored partials of all arrival batches."""
+    return late.combine(_stored(spark, d)[1]).select(
         "source_table", "entity_key", "period", "n", "delay_sum", "first_arrival", "last_arrival", "n_batches"
     )
 
@@ -107,9 +116,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 # --- problem 7 -------------------------------------------------------------------------------------------------------
 
 
-def signal_days(spark: SparkSession, d: str, signal: str | None = None) -> DataFrame:
-    """Daily amounts per entity of one signal, or, without one, per entity and signal (entity_key ends with its name);
-    each signal record counts once, with its latest delivery. Signals that aren't counts may be negative."""
+def signal_deliveries(spark: SparkSession, d: str, signal: str | None = None) -> DataFrame:
+    """First and latest delivery of every record of one signal, or, without one, of all signals (the entity then ends with
+    the signal's name). Signals that aren't counts may be negative."""
     name = F.lower(text_value(F.col("signal_name")))
     kept = F.when(name.endswith("_count"), count_value(F.col("value"))).otherwise(score_value(F.col("value")))
     entity = entity_of()
@@ -127,13 +136,21 @@ def signal_days(spark: SparkSession, d: str, signal: str | None = None) -> DataF
         )
         .where(F.col("signal_key").isNotNull())
     )
-    latest = rolling.latest_delivery(rows, "signal_key", "available_from", "value", "entity", "day")
-    return rolling.daily_amounts(latest, "entity", "day", "value")
+    return rolling.deliveries(rows, "signal_key", "available_from", "value", "entity", "day")
+
+
+def corrected_state(spark: SparkSession, d: str, signal: str | None = None) -> DataFrame:
+    """The rolling state of the first deliveries (version 1), corrected by what was delivered again (version 2)."""
+    pairs = checkpointed(signal_deliveries(spark, d, signal))
+    daily = rolling.daily_amounts(pairs.select("first.*"), "entity", "day", "value")
+    state = checkpointed(rolling.rolling_state(daily))
+    corrected = rolling.correct_state(state, rolling.changes_of(pairs, "entity", "day", "value"))
+    return rolling.counted_days(rolling.read_state(state, corrected))
 
 
 def p7_rolling(spark: SparkSession, d: str) -> DataFrame:
     """Trailing totals and averages of every signal; entity_key is country|disease|signal_name."""
-    state = rolling.rolling_state(signal_days(spark, d))
+    state = corrected_state(spark, d)
     return state.select(
         "entity_key",
         "day",
@@ -146,7 +163,7 @@ def p7_rolling(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Days on which twice the 7-day total of news_article_count exceeds its 30-day total."""
-    state = rolling.rolling_state(signal_days(spark, d, "news_article_count"))
+    state = corrected_state(spark, d, "news_article_count")
     return state.where(F.col("total_7") * 2 > F.col("total_30")).select("entity_key", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 

@@ -43,9 +43,12 @@ def run_available(spark: SparkSession, path: str, prepare: Callable[[DataFrame],
 
     At the end of the input one heartbeat far ahead moves the watermark past the last window, which would otherwise wait for
     later data. Its own window never closes, so it isn't part of the result."""
-    schema = spark.read.parquet(path).schema
+    table = spark.read.parquet(path)
     parent, _, name = path.rpartition("/")
-    source = prepare(spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(parent))
+    reader = spark.readStream.schema(table.schema)
+    # a table is a folder of files or one file, and a stream reads folders
+    one_file = not any(f"/{name}/" in f for f in table.inputFiles()[:1])
+    source = prepare(reader.option("pathGlobFilter", name).parquet(parent) if one_file else reader.parquet(path))
     folder = folder or shared_folder(spark, "stream")
     beat = spark.range(1).select(*(F.lit("2200-01-01" if f.name == time else None).cast(f.dataType).alias(f.name) for f in source.schema))
     beat.write.mode("overwrite").parquet(f"{folder}/heartbeat")
