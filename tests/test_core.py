@@ -124,3 +124,56 @@ def test_rolling_against_brute_force_and_corrections(spark):
 def test_latest_delivery_null_arrival_is_earliest(spark):
     f = spark.createDataFrame([("s", None, 5.0), ("s", DAY, 2.0), ("s", DAY, 2.0), ("t", None, 1.0)], "k string, a date, v double")
     assert rows(rolling.latest_delivery(f, "k", "a", "v"), "k", "v") == [("s", 2.0), ("t", 1.0)]
+
+
+def test_corrections_beyond_the_state_and_moved_records(spark):
+    """First deliveries give version 1; what is delivered again moves amounts, days and the range of days."""
+    day = lambda n: dt.date(2022, 1, 1) + dt.timedelta(n)
+    rows = [
+        ("s1", day(0), "a", day(0), 4.0), ("s2", day(1), "a", day(10), 6.0), ("s3", day(2), "a", day(20), 1.0),
+        ("s2", day(9), "a", day(10), 2.0), ("s3", day(30), "a", day(70), 5.0), ("s4", None, "a", day(3), 1.0), ("s4", day(4), "b", day(3), 9.0),
+        ("s5", day(1), "c", day(5), 3.0), ("s5", day(2), "c", day(5), None), ("s1", day(0), "a", day(0), 4.0),
+    ]
+    f = spark.createDataFrame(rows, "k string, arrival date, entity string, day date, value double")
+    pairs = rolling.deliveries(f, "k", "arrival", "value", "entity", "day")
+    state = rolling.rolling_state(rolling.daily_amounts(pairs.select("first.*"), "entity", "day", "value"), run_out=True)
+    out = rolling.counted_days(rolling.read_state(state, rolling.correct_state(state, rolling.changes_of(pairs, "entity", "day", "value"))))
+    final = {("a", 0): 4.0, ("a", 10): 2.0, ("a", 70): 5.0, ("b", 3): 9.0}
+    want = {}
+    for e, first, last in (("a", 0, 70), ("b", 3, 3)):
+        for t in range(first, last + 1):
+            want[e, t] = tuple(sum(v for (x, u), v in final.items() if x == e and t - w < u <= t) for w in (7, 30))
+    got = {(r["entity_key"], (r["day"] - day(0)).days): (float(r["total_7"]), float(r["total_30"])) for r in out.collect()}
+    assert got == want
+    assert rolling.counted_days(state.limit(0)).count() == 0
+
+
+def test_store_of_partials_is_rewritten_by_load(spark, tmp_path):
+    from tidewatch.operators import late
+
+    D = dt.date
+    rows = [("t", "r1", "e", D(2022, 1, 3), D(2022, 1, 5)), ("t", "r2", "e", D(2022, 1, 4), D(2022, 2, 20)), ("t", "r3", "e", D(2022, 1, 4), D(2022, 2, 21)), ("t", "r4", None, D(2022, 1, 4), D(2022, 3, 21))]
+    cls = late.classify(spark.createDataFrame(rows, "source_table string, record_id string, entity_key string, event_date date, arrival_date date"))
+    store = late.Store(spark, str(tmp_path / "store"))
+    store.append(cls, F.date_format("arrival_batch", "yyyy-MM"))
+    store.append(cls.where("record_id = 'r1'"), F.date_format("arrival_batch", "yyyy-MM"))  # a repeated load
+    combined = {(r["entity_key"], r["period"]): (r["n"], r["n_batches"]) for r in late.combine(store.read()).collect()}
+    assert combined == {("e", D(2022, 1, 3)): (2, 2)}
+    assert sorted(r["record_id"] for r in late.refused_records(cls, store.read()).collect()) == ["r3", "r4"]
+
+
+def test_units_round_exactly_near_halves():
+    import numpy as np
+    import pandas as pd
+
+    from tidewatch.operators import units
+
+    values = [0.5, 1.5, 2.4999999, 0.1, 3.3, 1e15, np.nan, -1.0, np.inf, 12345.6785]
+    unit = ["head", "kg", "lb", "1000 head", "t", "t", "kg", "kg", "kg", "g"]
+    element = ["Stocks", "Production", "Production", "Stocks", "Production", "Production", "Production", "Production", "Production", "Production"]
+    got = units.to_common(pd.Series(unit), pd.Series(element), pd.Series([None] * 10), pd.Series(values))["common_value"].tolist()
+    want = []
+    for v, u, e in zip(values, unit, element):
+        parsed = units.unit_of(u, e, None)
+        want.append(units.convert(v, parsed[1]) if np.isfinite(v) and v >= 0 else pd.NA)
+    assert [str(x) for x in got] == [str(x) for x in want]

@@ -3,8 +3,8 @@
 The state holds, per (entity, day), the day's amount and the totals of every trailing window. A day's totals are
 yesterday's totals plus today's arrivals minus the amount of the day that leaves the window. Raw rows are pre-aggregated
 to days first; after that the data is bounded by entities x days, so one hot entity holding a third of the rows is one
-short series. The state runs on past an entity's last day until its windows are empty, so that what arrives later finds
-yesterday's totals there.
+short series. A state that is to be corrected runs on past an entity's last day until its windows are
+empty, so that what arrives later finds yesterday's totals there.
 
 Records that are delivered again with another value, or counted on another day or entity, are corrections: signed changes
 of single days. ``correct_state`` writes the affected days again under a higher version - those between the corrected day
@@ -59,8 +59,8 @@ def changes_of(pairs: DataFrame, entity: str, day: str, value: str) -> DataFrame
     return counted.groupBy("entity_key", "day").agg(F.sum(F.col("v") * F.col("sign")).cast(AMOUNT).alias("delta"), F.sum("sign").alias("n_delta"))
 
 
-def rolling_state(daily: DataFrame, windows: Sequence[int] = (7, 30), version: int = 1) -> DataFrame:
-    """The state over every day from an entity's first to its last, and on until its windows are empty.
+def rolling_state(daily: DataFrame, windows: Sequence[int] = (7, 30), version: int = 1, run_out: bool = False) -> DataFrame:
+    """The state over every day from an entity's first to its last; with ``run_out`` on until its windows are empty.
 
     The running sum of arrivals and expiries over the days of an entity is the recurrence
     ``total(t) = total(t-1) + amount(t) - amount(t-window)``.
@@ -69,7 +69,7 @@ def rolling_state(daily: DataFrame, windows: Sequence[int] = (7, 30), version: i
     days = (
         daily.groupBy("entity_key")
         .agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"))
-        .select("entity_key", F.explode(F.sequence("first_day", F.date_add("last_day", max(windows) - 1))).alias("day"))
+        .select("entity_key", F.explode(F.sequence("first_day", F.date_add("last_day", max(windows) - 1 if run_out else 0))).alias("day"))
     )
     filled = days.join(daily, ["entity_key", "day"], "left").select(
         "entity_key", "day", F.coalesce("amount", F.lit(0).cast(AMOUNT)).alias("amount"), F.coalesce("n", F.lit(0)).alias("n")

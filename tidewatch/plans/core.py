@@ -143,7 +143,7 @@ def corrected_state(spark: SparkSession, d: str, signal: str | None = None) -> D
     """The rolling state of the first deliveries (version 1), corrected by what was delivered again (version 2)."""
     pairs = checkpointed(signal_deliveries(spark, d, signal))
     daily = rolling.daily_amounts(pairs.select("first.*"), "entity", "day", "value")
-    state = checkpointed(rolling.rolling_state(daily))
+    state = checkpointed(rolling.rolling_state(daily, run_out=True))
     corrected = rolling.correct_state(state, rolling.changes_of(pairs, "entity", "day", "value"))
     return rolling.counted_days(rolling.read_state(state, corrected))
 
