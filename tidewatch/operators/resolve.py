@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators import decide, geo
-from tidewatch.session import checkpointed
+from tidewatch.session import written
 
 DAYS, KM, LEAST_SCORE = 3, 10.0, 0.55
 
@@ -26,9 +26,9 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
     Each round takes the smallest root among neighbours and then the root's own root, so long chains halve; labels are
     written each round and only the number of changes reaches the driver."""
-    both = checkpointed(edges.where(F.col("a") != F.col("b")).select("a", "b").unionByName(edges.where(F.col("a") != F.col("b")).select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = written(edges.where(F.col("a") != F.col("b")).select("a", "b").unionByName(edges.where(F.col("a") != F.col("b")).select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     touched = both.select(F.col("a").alias("v")).distinct()
-    labels = checkpointed(touched.select("v", F.col("v").alias("root")))
+    labels = written(touched.select("v", F.col("v").alias("root")))
     while True:
         around = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("root").alias("near"))
         lower = labels.join(around, "v", "left").select("v", "root", F.least("root", F.coalesce("near", "root")).alias("low"))
@@ -36,7 +36,7 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         above = lower.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("down"))
         step = lower.join(above, lower["root"] == above["r"]).select("v", "root", F.least("low", "down").alias("low"))
         jump = step.join(lower.select(F.col("v").alias("low"), F.col("low").alias("next")), "low", "left")
-        found = checkpointed(jump.select("v", F.col("root").alias("before"), F.least("low", F.coalesce("next", "low")).alias("root")))
+        found = written(jump.select("v", F.col("root").alias("before"), F.least("low", F.coalesce("next", "low")).alias("root")))
         changed = found.where("before != root").limit(1).count()
         labels = found.select("v", "root")
         if not changed:
@@ -92,8 +92,8 @@ def resolve(events: DataFrame, days: int = DAYS, km: float = KM, least_score: fl
     """(members, decisions). members: event_id, cluster (smallest record), canonical_event_id (CE- and its number in the
     order of clusters). decisions: rule, a, b, score, detail."""
     ids = events.select(F.col("event_id").alias("v")).distinct()
-    cited = checkpointed(citations(events))
-    best = checkpointed(best_matches(events, days, km, least_score))
+    cited = written(citations(events))
+    best = written(best_matches(events, days, km, least_score))
     cites = components(ids, cited).withColumnRenamed("root", "cite")
     together = components(ids, cited.unionByName(best.select(F.col("i").alias("a"), F.col("j").alias("b")))).withColumnRenamed("root", "part")
     facts = events.select(F.col("event_id").alias("v"), F.col("source_name").alias("source"), "disease", "country", F.col("reference_date").alias("day"))
@@ -101,7 +101,7 @@ def resolve(events: DataFrame, days: int = DAYS, km: float = KM, least_score: fl
     # a set of one record is its own cluster and never leaves the JVM
     several = rows.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part")
     grouped = rows.join(several, "part", "left_semi").groupBy("part").applyInPandas(_merged, "v string, cluster string, accepted boolean")
-    merged = checkpointed(grouped)
+    merged = written(grouped)
     members = ids.join(merged, "v", "left").select(F.col("v").alias("event_id"), F.coalesce("cluster", "v").alias("cluster"))
     named = decide.prefix_sum(members.select("cluster").distinct().withColumn("_1", F.lit(1)), ["cluster"], "_1", "n").select("cluster", F.format_string("CE-%07d", F.col("n") + 1).alias("canonical_event_id"))
     first = cited.select(F.lit("explicit_reference").alias("rule"), "a", "b", F.lit(1.0).alias("score"), F.concat(F.lit("source_event_id -> "), "b").alias("detail"))

@@ -60,6 +60,16 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """Cut the lineage through a written table in the shared folder.
+
+    For steps of a loop: a table's size is that of its files, while a checkpoint keeps the estimate of the plan it came
+    from, which joins of a loop multiply without end."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Partitions for an explicit repartition: at least what the cluster runs at once."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
