@@ -1,11 +1,14 @@
 """Consolidating pairwise matches into groups: connected components on a two-dimensional grid of edge partitions.
 
-Vertices are hashed into blocks; an edge belongs to the cell (block of one end, block of the other). Every cell runs a
-local union-find over its edges - a cell may be split over several tasks, because union-find on any part of the edges
-is sound - and reports a representative for each vertex it saw. A vertex then exchanges the representatives it got
-along its row and its column: the smallest becomes its parent, parents of parents are taken a few times, and parents that a vertex's representatives
-have in different places are tied. Those ties are the edges of the next, much smaller round. Rounds end when nothing is
-left to tie; the parents of all rounds are composed afterwards. No link, component or vertex set ever reaches the driver; only row counts do.
+Vertices are hashed into blocks; an edge belongs to the cell (block of one end, block of the other). The grid has at least
+as many cells as the cluster runs tasks, and more where cells would hold too many edges. Every cell runs a local
+union-find over its edges - a cell may be split over several tasks, because union-find on any part of the edges is sound -
+and reports a representative for each vertex it saw. A vertex then exchanges the representatives it got along its row and
+its column: the smallest becomes its parent, parents of parents are taken until they are roots, and roots that a vertex's
+representatives have in different places are tied. Those ties are the edges of the next, much smaller round. Rounds end
+when nothing is left to tie; the parents of all rounds are composed afterwards. No link, component or vertex set ever
+reaches the driver; only row counts do. Parents are looked up among the distinct parents alone, so a component that holds
+a third of all vertices is one row of the looked-up side.
 
 Defined cases: null ends and self loops tie nothing (a self loop alone makes no group); repeated and mirrored edges
 count once; the representative is the smallest vertex in string order; an empty input gives no rows.
@@ -20,14 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.session import checkpointed
+from tidewatch.session import parallelism, written
 
 #: Edges that one cell should hold; the grid grows with the edges so that a local union-find stays small.
 EDGES_PER_CELL = 1_000_000
 #: Arrow rows that a task joins to its union-find at once.
 CHUNK = 200_000
-#: Doublings of the parent pointers in a round.
-JUMPS = 3
 
 
 def _smallest_reps(left: np.ndarray, right: np.ndarray, n: int, parent: np.ndarray) -> np.ndarray:
@@ -75,45 +76,47 @@ def _local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"v": kept[0][at : at + 50_000], "rep": kept[1][at : at + 50_000]})
 
 
+def _looked_up(rows: DataFrame, column: str, parents: DataFrame) -> DataFrame:
+    """``rows`` with ``column`` exchanged for its parent where it has one. Only the distinct values are looked up."""
+    asked = rows.select(F.col(column).alias("v")).distinct().join(parents.select("v", F.col("parent").alias("_above")), "v").withColumnRenamed("v", "_of")
+    others = [c for c in rows.columns if c != column]
+    return rows.join(asked, rows[column] == asked["_of"], "left").select(*others, F.coalesce("_above", column).alias(column))
+
+
 def connected_components(edges: DataFrame, u: str, v: str, blocks: int | None = None) -> DataFrame:
     """(vertex, component) for every vertex that has an edge to another one; component is its smallest vertex."""
     spark = edges.sparkSession
     low, high = F.least(F.col(u), F.col(v)), F.greatest(F.col(u), F.col(v))
-    current = checkpointed(
+    current = written(
         edges.where(F.col(u).isNotNull() & F.col(v).isNotNull() & (F.col(u) != F.col(v)))
         .select(low.alias("u"), high.alias("v"))
         .distinct()
     )
     total = current.count()
     rounds: list[DataFrame] = []
+    least_side = int(np.ceil(np.sqrt(parallelism(spark))))
     while total:
-        side = blocks or max(1, int(np.ceil(np.sqrt(total / EDGES_PER_CELL))))
+        side = blocks or max(least_side, int(np.ceil(np.sqrt(total / EDGES_PER_CELL))))
         cells = current.select(
             "u", "v",
             F.pmod(F.xxhash64("u"), F.lit(side)).alias("row"), F.pmod(F.xxhash64("v"), F.lit(side)).alias("column"),
         )
-        tasks = max(side * side, min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 50_000 + 1))
-        if tasks > side * side:  # more tasks than cells: a cell's edges may be split freely
-            cells = cells.repartition(tasks, "row", "column", F.pmod(F.xxhash64("u", "v"), F.lit(tasks // (side * side) + 1)))
-        else:
-            cells = cells.repartition(tasks, "row", "column")
-        stars = checkpointed(cells.select("u", "v").mapInPandas(_local, "v string, rep string"))
-        if tasks == 1:
-            rounds.append(stars.select("v", F.col("rep").alias("parent")))
-            break
+        stars = written(cells.repartition(side * side, "row", "column").select("u", "v").mapInPandas(_local, "v string, rep string"))
         parents = stars.groupBy("v").agg(F.min("rep").alias("parent"))
-        for _ in range(JUMPS):  # parents of parents: a path of representatives shrinks by 2 ** JUMPS a round
-            above = parents.select(F.col("v").alias("parent"), F.col("parent").alias("above"))
-            parents = checkpointed(parents.join(above, "parent").select("v", F.col("above").alias("parent")))
+        while True:  # parents of parents until every vertex points at the root of its tree: paths halve each time
+            jumped = written(_looked_up(parents.select("v", F.col("parent").alias("before"), "parent"), "parent", parents))
+            parents = jumped.select("v", "parent")
+            if not jumped.where("before != parent").limit(1).count():
+                break
         rounds.append(parents)
         # what a vertex was told by its row and its column is tied, by the parents of both ends
-        ends = stars.join(parents.withColumnRenamed("parent", "p"), "v").join(parents.select(F.col("v").alias("rep"), F.col("parent").alias("q")), "rep")
-        current = checkpointed(ends.where("p != q").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct())
+        told = stars.join(parents.withColumnRenamed("parent", "p"), "v").select("rep", "p").distinct()
+        ends = _looked_up(told, "rep", parents).withColumnRenamed("rep", "q")
+        current = written(ends.where("p != q").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct())
         total = current.count()
     if not rounds:
         return spark.createDataFrame([], "vertex string, component string")
     found = rounds[-1]
     for parents in reversed(rounds[:-1]):
-        later = found.select(F.col("v").alias("parent"), F.col("parent").alias("root"))
-        found = parents.join(later, "parent", "left").select("v", F.coalesce("root", "parent").alias("parent"))
+        found = _looked_up(parents, "parent", found)
     return found.select(F.col("v").alias("vertex"), F.col("parent").alias("component"))

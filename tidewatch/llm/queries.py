@@ -54,9 +54,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _groups_of_two(found: DataFrame) -> DataFrame:
-    # a group has at least two events iff some member isn't its representative; sizes are combined map-side
-    large = found.where(F.col("vertex") != F.col("component")).select("component").distinct()
-    return found.join(large, "component", "left_semi").select(F.col("vertex").alias("event_id"), F.col("component").alias("group_id"))
+    # whoever isn't the representative is in a group of two; only representatives are looked up, one row a group
+    others = found.where(F.col("vertex") != F.col("component"))
+    reps = found.where(F.col("vertex") == F.col("component")).join(others.select("component").distinct(), "component", "left_semi")
+    return others.select("vertex", "component").unionByName(reps.select("vertex", "component")).select(F.col("vertex").alias("event_id"), F.col("component").alias("group_id"))
 
 
 # --- problem 5 -------------------------------------------------------------------------------------------------------
@@ -101,23 +102,27 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 FIELDS = ("admin1", "locality", "latitude", "onset_date", "cases")
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    order = [F.col("tier"), F.coalesce(-F.unix_date("published_at"), F.lit(1 << 30))]
-    present = {f: F.col(f).isNotNull() for f in FIELDS}
-    return survivor.by_precedence(_records(spark, d), "canonical_event_id", "event_id", present, order)
-
-
-def p5_truth(spark: SparkSession, d: str) -> DataFrame:
-    """The surviving values by iterative truth discovery over the sources."""
+def _claims(spark: SparkSession, d: str) -> DataFrame:
+    """What each record says of each field, in a form in which other spellings of a value are equal."""
     plain = lambda c: F.regexp_replace(F.lower(F.translate(c, "áéíóúöüäñ", "aeiououan")), "\\s+", " ")
     values = {
         "admin1": plain(F.col("admin1")), "locality": plain(F.col("locality")),
-        "latitude": F.concat_ws(",", F.round("latitude", 2), F.round("longitude", 2)),
+        "latitude": F.when(F.col("latitude").isNotNull(), F.concat_ws(",", F.round("latitude", 2), F.round("longitude", 2))),
         "onset_date": F.col("onset_date"), "cases": F.col("cases"),
     }
-    values["latitude"] = F.when(F.col("latitude").isNotNull(), values["latitude"])
-    claimed = survivor.claims(_records(spark, d), "canonical_event_id", "source", values)
-    truths, _ = survivor.truth_discovery(claimed)
+    order = F.struct(F.col("tier"), F.coalesce(-F.unix_date("published_at"), F.lit(1 << 30)).alias("age"))
+    return survivor.claims(_records(spark, d), "canonical_event_id", "source", {f: values[f] for f in FIELDS}, "event_id", order)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The surviving record of every field by truth discovery with the tiers' order as prior of reliability."""
+    truths, _ = survivor.truth_discovery(_claims(spark, d), use_prior=True)
+    return truths.select(F.col("grp").alias("canonical_event_id"), "field", F.col("record").alias("event_id"))
+
+
+def p5_truth(spark: SparkSession, d: str) -> DataFrame:
+    """The surviving values by truth discovery without a prior: sources weigh by what the votes teach."""
+    truths, _ = survivor.truth_discovery(_claims(spark, d))
     return truths.select(F.col("grp").alias("canonical_event_id"), "field", "value", "support")
 
 
