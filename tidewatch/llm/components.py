@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.session import parallelism, written
+from tidewatch.session import written
 
 #: Edges that one cell should hold; the grid grows with the edges so that a local union-find stays small.
 EDGES_PER_CELL = 1_000_000
@@ -94,7 +94,7 @@ def connected_components(edges: DataFrame, u: str, v: str, blocks: int | None =
     )
     total = current.count()
     rounds: list[DataFrame] = []
-    least_side = int(np.ceil(np.sqrt(parallelism(spark))))
+    least_side = int(np.ceil(np.sqrt(spark.sparkContext.defaultParallelism)))
     while total:
         side = blocks or max(least_side, int(np.ceil(np.sqrt(total / EDGES_PER_CELL))))
         cells = current.select(

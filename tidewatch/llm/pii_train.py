@@ -1,13 +1,16 @@
-"""Trains the weights of ``pii``: python -m tidewatch.llm.pii_train DOCUMENTS.parquet [SECONDS]
+"""Trains the weights of ``pii``: python -m tidewatch.llm.pii_train DOCUMENTS.parquet
 
-Labelled spans come from a bounded sample of documents (``SAMPLE`` rows, of each the first 12,000 characters), labelled by the sentence frames that hold
-personal data and by the shapes of numbers, e-mail and street addresses; every labelled sentence is also used with its
-passages exchanged (other made-up names, other digits, other letter case), so that the network learns frames and shapes
-and not the sample's names. Loss: negative log-likelihood of a linear-chain CRF; optimiser: Adam; all in numpy.
+Two thirds of the windows come from made-up sentences (``pii_frames``), the rest from a bounded sample of documents
+(``SAMPLE`` rows, chosen by a hash of their id, whole texts), labelled by the sentence frames that hold personal data and by
+the shapes of numbers, e-mail and street addresses, and used with their passages exchanged for made-up ones. Steps, rate
+and seed are fixed, so that a run can be repeated. Loss: negative log-likelihood of a linear-chain CRF; optimiser: Adam;
+all in numpy; the gradients of a step are the mean over WORKERS processes.
 """
 
 from __future__ import annotations
 
+import hashlib
+import multiprocessing
 import random
 import re
 import sys
@@ -15,10 +18,13 @@ import time
 
 import numpy as np
 
+from tidewatch.llm import pii_frames
 from tidewatch.llm.pii import CLASSES, KINDS, TAGS, WEIGHTS, char_classes, emissions, prepare, spans_of
 
-#: Bound on the labelled documents, and the network's size.
+#: Bound on the labelled documents, the network's size, characters of a window.
 SAMPLE, HIDDEN, LENGTH = 10_000, 40, 192
+#: Steps, processes, windows of each process and step, and the seed.
+STEPS, WORKERS, WINDOWS, SEED = 2400, 8, 48, 11
 
 _W = r"[^\W\d_](?:[^\W\d_]|['’-])+"
 _N = rf"(?:{_W}|[A-Z]\.)(?:,?[ \u00a0](?:{_W}|[A-Z]\.)){{0,2}}"
@@ -68,33 +74,17 @@ def label(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-_SYLLABLES = "ba be bi bo cor da del dor em er fa fen gor had hal il is ja jo kar kir la lin lu mar mor nak nim o or pa per qui ras ro sal san sul ta tes tri ul va ven wen yo za zwar dal vik lund hof rac mont bert sen ska nen lle tov".split()
-
-
-def _word(r: random.Random) -> str:
-    return "".join(r.choice(_SYLLABLES) for _ in range(r.choice((2, 2, 3, 3, 4)))).capitalize()
-
-
-def _name(r: random.Random) -> str:
-    first, last = _word(r), _word(r)
-    if r.random() < 0.1:
-        last += "-" + _word(r)
-    form = r.random()
-    out = f"{first} {last}" if form < 0.4 else f"{last.upper()} {first}" if form < 0.52 else f"{last}, {first}" if form < 0.66 else last if form < 0.8 else f"{first[0]}. {last}" if form < 0.9 else f"{first} {r.choice('ABCDEKLMR')}. {last}"
-    return out.lower() if r.random() < 0.12 else out
-
-
 def exchange(text: str, spans: list[tuple[int, int, str]], r: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
     """The text with its passages replaced by others of the same kind and shape."""
     out, at, moved = "", 0, []
     for a, b, k in spans:
         passage = text[a:b]
         if k == "name":
-            passage = _name(r)
+            passage = pii_frames.name(r)
         elif k != "email":
             passage = re.sub(r"\d", lambda m: m[0] if r.random() < 0.3 else str(r.randrange(10)), passage)
         elif r.random() < 0.3:
-            passage = passage.swapcase() if r.random() < 0.3 else _word(r).lower() + passage[r.randrange(0, 3) :]
+            passage = passage.swapcase() if r.random() < 0.3 else pii_frames.word(r).lower() + passage[r.randrange(0, 3) :]
         out += text[at:a]
         moved.append((len(out), len(out) + len(passage), k))
         out += passage
@@ -102,14 +92,14 @@ def exchange(text: str, spans: list[tuple[int, int, str]], r: random.Random) ->
     return out + text[at:], moved
 
 
-def windows(text: str, spans: list[tuple[int, int, str]], r: random.Random, empty: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Windows around each span, and ``empty`` anywhere."""
+def windows(text: str, spans: list[tuple[int, int, str]], r: random.Random, empty: int, at: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Windows around each span, and ``empty`` anywhere; or those that start ``at`` given places."""
     tags = np.zeros(len(text), np.int8)
     for a, b, k in spans:
         tags[a] = 1 + 2 * KINDS.index(k)
         tags[a + 1 : b] = 2 + 2 * KINDS.index(k)
     x = char_classes(text)
-    starts = [max(0, a - r.randrange(30, LENGTH - 40)) for a, _, _ in spans] + [r.randrange(0, max(1, len(text) - LENGTH)) for _ in range(empty)]
+    starts = at if at is not None else [max(0, a - r.randrange(30, LENGTH - 40)) for a, _, _ in spans] + [r.randrange(0, max(1, len(text) - LENGTH)) for _ in range(empty)]
     out = []
     for s in starts:
         t = tags[s : s + LENGTH].copy()
@@ -174,7 +164,8 @@ class Net:
             dc = dc * f
         grads[f"tab_{d}"], grads[f"rec_{d}"] = dtab, drec
 
-    def step(self, x: np.ndarray, y: np.ndarray, lengths: np.ndarray, rate: float) -> float:
+    def gradients(self, x: np.ndarray, y: np.ndarray, lengths: np.ndarray) -> tuple[dict, float]:
+        """(gradients, loss of 100 characters)."""
         steps, batch = x.shape
         back = np.arange(steps)[:, None]
         back = np.where(back < lengths, lengths - 1 - back, back)
@@ -219,6 +210,9 @@ class Net:
         dboth = de @ self.p["out"].T
         self._backward("f", x, sf, dboth[:, :, :HIDDEN], grads)
         self._backward("b", xb, sb, dboth[:, :, HIDDEN:][back, cols], grads)
+        return grads, float((z - gold).sum() / n * 100)
+
+    def update(self, grads: dict, rate: float) -> None:
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         clip = min(1.0, 5.0 / (norm + 1e-6))
         self.t += 1
@@ -227,7 +221,6 @@ class Net:
             self.m[k] = 0.9 * self.m[k] + 0.1 * g
             self.v[k] = 0.99 * self.v[k] + 0.01 * g * g
             self.p[k] -= rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-6)
-        return float((z - gold).sum() / n * 100)
 
 
 def batch_of(rows: list[tuple[np.ndarray, np.ndarray]]):
@@ -252,39 +245,69 @@ def score(texts: list[str], truth: list[list[tuple[int, int, str]]], model) -> d
     return {k: (round(hit[k] / max(made[k], 1), 4), round(hit[k] / max(real[k], 1), 4), real[k]) for k in KINDS}
 
 
-def main(path: str, seconds: float) -> None:
+def sample(path: str, salt: str = "train") -> list[str]:
+    """At most SAMPLE texts, those with the smallest hashes of their ids."""
     import pyarrow.parquet as pq
 
-    r = random.Random(11)
-    texts = [t for t in pq.read_table(path, columns=["doc_id", "text"]).sort_by("doc_id").slice(0, SAMPLE)["text"].to_pylist() if t]
-    held = texts[::10]
-    rows = []
-    for n, text in enumerate(texts):
-        if n % 10 == 0:
-            continue
-        text = text[:12_000]
-        spans = label(text)
-        rows += windows(text, spans, r, 1)
-        for _ in range(2 if spans else 0):
-            rows += windows(*exchange(text, spans, r), r, 0)
-    print(len(texts), "texts", len(rows), "windows", flush=True)
-    net, began, done = Net(), time.time(), 0
-    size = 64
-    while (used := (time.time() - began) / seconds) < 1:
-        r.shuffle(rows)
-        loss = []
-        for at in range(0, len(rows) - size + 1, size):
-            used = (time.time() - began) / seconds
-            if used >= 1:
-                break
-            loss.append(net.step(*batch_of(rows[at : at + size]), 0.006 * (1 - used) + 0.0003))
-            done += 1
-            if done % 100 == 0:
-                print(done, round(time.time() - began), round(sum(loss[-100:]) / len(loss[-100:]), 4), flush=True)
+    rows = pq.read_table(path, columns=["doc_id", "text"]).to_pylist()
+    rows.sort(key=lambda row: hashlib.sha1(f"{salt}{row['doc_id']}".encode()).digest())
+    return [row["text"] for row in rows[:SAMPLE] if row["text"]]
+
+
+class _Worker:
+    """Makes windows and their gradients; windows depend on seed, step and number of the process alone."""
+
+    def __init__(self, real: list, background: list[str]):
+        self.real, self.background, self.net = real, background, Net()
+
+    def __call__(self, task: tuple[int, int, dict]) -> tuple[dict, float]:
+        step, number, self.net.p = task
+        r = random.Random((SEED * 1_000_003 + step) * 101 + number)
+        rows: list = []
+        while len(rows) < WINDOWS:
+            if r.random() < 0.66:
+                text, spans = pii_frames.text(r, self.background, LENGTH + r.randrange(120))
+                at = r.randrange(0, max(1, len(text) - LENGTH))
+                rows += windows(text, spans, r, 0, [at])
+            else:
+                text, spans = r.choice(self.real)
+                if spans and r.random() < 0.8:
+                    text, spans = exchange(text, spans, r)
+                rows += r.sample(found, min(len(found), 2)) if (found := windows(text, spans, r, 1)) else []
+        return self.net.gradients(*batch_of(rows[:WINDOWS]))
+
+
+_worker: _Worker | None = None
+
+
+def _call(task):
+    return _worker(task)
+
+
+def main(path: str) -> None:
+    global _worker
+    texts = sample(path)
+    held, used = texts[::10], [t for i, t in enumerate(texts) if i % 10]
+    real = [(t, label(t)) for t in used]
+    r = random.Random(SEED)
+    # sentences of real texts in which the labelling found nothing, as surroundings
+    background = [x for t, spans in real if not spans for x in re.split(r"(?<=[.!?])\s+", t) if 20 < len(x) < 160]
+    background = r.sample(background, min(len(background), 4000))
+    _worker = _Worker(real, background)
+    net, began = Net(), time.time()
+    with multiprocessing.get_context("fork").Pool(WORKERS) as pool:
+        for step in range(STEPS):
+            found = pool.map(_call, [(step, i, net.p) for i in range(WORKERS)], chunksize=1)
+            mean = {k: sum(g[k] for g, _ in found) / WORKERS for k in found[0][0]}
+            net.update(mean, 0.008 * (1 - step / STEPS) + 0.0002)
+            if step % 50 == 0:
+                print(step, round(time.time() - began), round(sum(x for _, x in found) / WORKERS, 4), flush=True)
     np.savez_compressed(WEIGHTS, **{k: v.astype(np.float16) for k, v in net.p.items()})
     model = prepare({k: v.astype(np.float16).astype(np.float32) for k, v in net.p.items()})
-    print(score(held, [label(t) for t in held], model))
+    print("documents", score(held, [label(t) for t in held], model))
+    made = [pii_frames.text(random.Random(10_000 + i), background, 400) for i in range(1500)]
+    print("frames", score([t for t, _ in made], [s for _, s in made], model))
 
 
 if __name__ == "__main__":
-    main(sys.argv[1], float(sys.argv[2]) if len(sys.argv) > 2 else 300)
+    main(sys.argv[1])
