@@ -277,7 +277,7 @@ def _name(text: str, begin: int, end: int) -> tuple[int, int] | None:
     # a first name or initial right before, left out by the network
     if before := re.search(r"(?<!\w)(?:[A-Z]\.|[A-Z][a-zà-ÿ]+(?:-[A-Z][a-zà-ÿ]+)?)[ \u00a0]$", text[max(0, a - 24) : a]):
         word = before[0][:-1]
-        if word.lower() not in _LEAD and (word.endswith(".") or text[a : a + 2].endswith(".")):
+        if word.lower().strip(".") not in _LEAD and (word.endswith(".") or text[a : a + 2].endswith(".")):
             a -= len(before[0])
     return a, b
 

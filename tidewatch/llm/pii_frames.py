@@ -168,8 +168,40 @@ def plain(r: random.Random) -> str:
     return r.choice(PLAIN).format(x=x, n=r.randrange(10, 9999), m=r.randrange(10, 9999), k=r.randrange(1, 40), j=r.randrange(1, 40), d=day, e=day, y=r.randrange(1990, 2026), M=r.choice(MONTHS), t=r.choice(TOWNS), b=body[:1].upper() + body[1:], c=other)
 
 
-def sentence(r: random.Random) -> tuple[str, tuple[int, int, str] | None]:
+ID_WORDS = ("passport", "identity card", "ID", "SSN", "national ID", "licence", "tax number", "passeport", "carte d'identité", "DNI", "pasaporte", "documento", "Ausweis", "Personalausweis", "Reisepass", "identity document", "insurance number", "personal number")
+PLACE_KINDS = ("{w} District", "{w} Province", "the {w} River", "Lake {w}", "{w} County", "Port {w}", "North {w}", "{w} Valley", "{w} Market", "Mount {w}", "Saint-{w}", "{w} Farm", "the {w} Institute", "{w}shire", "{w} region", "{w} virus", "the {w} Report", "Camp {w}", "{w} University", "{w} GmbH", "{w} Ltd")
+
+
+def inserted(r: random.Random, background: list[str]) -> tuple[str, tuple[int, int, str] | None]:
+    """A passage, or a place's name, between any two words of a sentence that has neither: what tells it is its shape."""
+    words = (r.choice(background) if background and r.random() < 0.7 else plain(r)).split()
+    at = r.randrange(1, len(words)) if len(words) > 1 else len(words)
+    before, after = " ".join(words[:at]).rstrip(",;") + r.choice((" ", " ", " ", " ", ", ", ": ", " (")), r.choice((" ", " ", " ", ", ", ". ", ") ")) + " ".join(words[at:])
+    pick = r.random()
+    if pick < 0.14:
+        return before + r.choice(("in ", "near ", "at ", "from ", "", "à ", "en ", "bei ")) + r.choice(PLACE_KINDS).format(w=word(r)) + after, None
+    if pick < 0.20:
+        return before + r.choice((*BODIES, *TOWNS)) + after, None
+    if pick < 0.56:
+        kind, passage = "name", name(r)
+        if " " not in passage.replace("\u00a0", " ") or passage.islower():
+            before += r.choice(TITLES) + " "
+        elif r.random() < 0.2:
+            before += r.choice(TITLES) + " " if r.random() < 0.5 else r.choice(ROLES) + " "
+    else:
+        kind = r.choice(("email", "phone", "id_number", "street_address", "street_address"))
+        passage = MAKE[kind](r)
+        if kind == "id_number":
+            before += r.choice(ID_WORDS) + r.choice((" ", " ", " no ", " no. ", " n° ", ": ", " is ", " ist ", " (", " number "))
+        elif kind == "phone" and passage.isdigit():
+            before += "tel. "
+    return before + passage + after, (len(before), len(before) + len(passage), kind)
+
+
+def sentence(r: random.Random, background: list[str] = ()) -> tuple[str, tuple[int, int, str] | None]:
     """A sentence and its labelled span, or None where it has none."""
+    if r.random() < 0.55:
+        return inserted(r, background)
     pick = r.random()
     if pick < 0.28:
         return plain(r), None
@@ -191,10 +223,10 @@ def text(r: random.Random, background: list[str], length: int) -> tuple[str, lis
     """Sentences, some of them from real texts without labels, up to a length."""
     out, spans = "", []
     while len(out) < length:
-        if background and r.random() < 0.3:
+        if background and r.random() < 0.22:
             piece, span = r.choice(background), None
         else:
-            piece, span = sentence(r)
+            piece, span = sentence(r, background)
         if span:
             spans.append((len(out) + span[0], len(out) + span[1], span[2]))
         out += piece + r.choice((" ", " ", " ", "\n", "  "))

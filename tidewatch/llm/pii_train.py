@@ -24,7 +24,9 @@ from tidewatch.llm.pii import CLASSES, KINDS, TAGS, WEIGHTS, char_classes, emiss
 #: Bound on the labelled documents, the network's size, characters of a window.
 SAMPLE, HIDDEN, LENGTH = 10_000, 40, 192
 #: Steps, processes, windows of each process and step, and the seed.
-STEPS, WORKERS, WINDOWS, SEED = 2400, 8, 48, 11
+STEPS, WORKERS, WINDOWS, SEED = 4800, 8, 64, 11
+#: The first steps, mostly on made-up sentences; the rest on documents for the larger part, from stored (rounded) weights.
+FIRST, MADE_FIRST, MADE_REST = 3000, 0.7, 0.35
 
 _W = r"[^\W\d_](?:[^\W\d_]|['’-])+"
 _N = rf"(?:{_W}|[A-Z]\.)(?:,?[ \u00a0](?:{_W}|[A-Z]\.)){{0,2}}"
@@ -265,7 +267,7 @@ class _Worker:
         r = random.Random((SEED * 1_000_003 + step) * 101 + number)
         rows: list = []
         while len(rows) < WINDOWS:
-            if r.random() < 0.66:
+            if r.random() < (MADE_FIRST if step < FIRST else MADE_REST):
                 text, spans = pii_frames.text(r, self.background, LENGTH + r.randrange(120))
                 at = r.randrange(0, max(1, len(text) - LENGTH))
                 rows += windows(text, spans, r, 0, [at])
@@ -284,7 +286,12 @@ def _call(task):
     return _worker(task)
 
 
-def main(path: str) -> None:
+def _stored(net: Net) -> None:
+    np.savez_compressed(WEIGHTS, **{k: v.astype(np.float16) for k, v in net.p.items()})
+
+
+def main(path: str, start: int = 0) -> None:
+    """``start``: FIRST goes on from the stored weights of the first steps."""
     global _worker
     texts = sample(path)
     held, used = texts[::10], [t for i, t in enumerate(texts) if i % 10]
@@ -295,14 +302,22 @@ def main(path: str) -> None:
     background = r.sample(background, min(len(background), 4000))
     _worker = _Worker(real, background)
     net, began = Net(), time.time()
+    if start:
+        with np.load(WEIGHTS) as stored:
+            net.p = {k: stored[k].astype(np.float32) for k in stored.files}
     with multiprocessing.get_context("fork").Pool(WORKERS) as pool:
-        for step in range(STEPS):
+        for step in range(start, STEPS):
+            if step == FIRST and not start:
+                _stored(net)
+                net = Net()
+                with np.load(WEIGHTS) as stored:
+                    net.p = {k: stored[k].astype(np.float32) for k in stored.files}
             found = pool.map(_call, [(step, i, net.p) for i in range(WORKERS)], chunksize=1)
             mean = {k: sum(g[k] for g, _ in found) / WORKERS for k in found[0][0]}
-            net.update(mean, 0.008 * (1 - step / STEPS) + 0.0002)
+            net.update(mean, 0.0002 + (0.008 * (1 - step / FIRST) if step < FIRST else 0.005 * (1 - (step - FIRST) / (STEPS - FIRST))))
             if step % 50 == 0:
                 print(step, round(time.time() - began), round(sum(x for _, x in found) / WORKERS, 4), flush=True)
-    np.savez_compressed(WEIGHTS, **{k: v.astype(np.float16) for k, v in net.p.items()})
+    _stored(net)
     model = prepare({k: v.astype(np.float16).astype(np.float32) for k, v in net.p.items()})
     print("documents", score(held, [label(t) for t in held], model))
     made = [pii_frames.text(random.Random(10_000 + i), background, 400) for i in range(1500)]
@@ -310,4 +325,4 @@ def main(path: str) -> None:
 
 
 if __name__ == "__main__":
-    main(sys.argv[1])
+    main(sys.argv[1], int(sys.argv[2]) if len(sys.argv) > 2 else 0)
