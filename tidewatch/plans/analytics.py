@@ -199,7 +199,7 @@ def join_left_assemble(spark, d):
 
 
 _PAIRS = f"""WITH {T.EVENTS}, p AS (SELECT a.event_id AS i, b.event_id AS j, abs(a.reference_date - b.reference_date) AS days,
- 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(a.lat - b.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(a.lon - b.lon) / 2), 2)))) AS km, a.admin1 AS ra, b.admin1 AS rb
+ CASE WHEN a.lat IS NOT NULL AND a.lon IS NOT NULL AND b.lat IS NOT NULL AND b.lon IS NOT NULL THEN 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(a.lat - b.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(a.lon - b.lon) / 2), 2)))) END AS km, a.admin1 AS ra, b.admin1 AS rb
  FROM ev a JOIN ev b ON a.entity_key = b.entity_key AND a.source_name <> b.source_name AND abs(a.reference_date - b.reference_date) <= 3 AND (b.reference_date < a.reference_date OR (b.reference_date = a.reference_date AND b.event_id < a.event_id))),
  s AS (SELECT i, j, days, km, round(0.5 * (1 - days / 3.0) + 0.5 * coalesce(1 - km / 10, 0.5), 6) AS score FROM p WHERE km <= 10 OR (km IS NULL AND lower(ra) = lower(rb)))"""
 
