@@ -197,9 +197,9 @@ l AS (SELECT entity_key, week, available_from, unnest([struct_pack(f := 'intel_f
 il AS (SELECT entity_key, week, signal_name AS feature, value, available_from, 'intelligence' AS family, source_name AS source FROM {_SIG} UNION ALL SELECT entity_key, week, x.f, x.v, available_from, 'intelligence', 'fusion' FROM l)"""
 
 
-@query("intelligence_family", _INTEL + " SELECT entity_key, week, feature, round(value, 6) AS value, available_from, family, source FROM il")
+@query("intelligence_family", _INTEL + " SELECT entity_key, week, feature, round(value, 9) AS value, available_from, family, source FROM il")
 def intelligence_family(spark, d):
-    return rounded(families.intelligence(T.signals(spark, d)))
+    return families.intelligence(T.signals(spark, d)).withColumn("value", F.round("value", 9))
 
 
 # --- assembly, labels, targets ---------------------------------------------------------------------------------------
