@@ -4,8 +4,9 @@
 (the negative logarithm of a source's share of disagreeing claims), until the weights settle; the highest-supported value
 survives, and with it the best record that has it. Support is the sum of the supporting sources' weights. With the prior,
 it is led by the best order among the supporters (tier, then date, then record): a prior so strong that no number of votes
-outweighs it, as where the order of trust is prescribed. Values then settle in the first round and the learned weights
-only tell how far each source agrees; without the prior the weights decide.
+outweighs it. Values then settle in the first round and the learned weights only tell how far each source agrees; without
+the prior the weights decide. Where the order of trust is prescribed and only the records are asked for, votes and weights
+change nothing: ``by_precedence`` gives the same records by one aggregate.
 
 Votes and reliabilities are plain aggregates over (group, field, value, source), so a group or a source holding a third of
 all rows is combined map-side. The weights of up to MAX_SOURCES sources travel as a literal, more are joined; only the
@@ -31,8 +32,8 @@ MAX_SOURCES = 10_000
 
 
 def by_precedence(records: DataFrame, group: str, record: str, present: Mapping[str, Column], order: Sequence[Column]) -> DataFrame:
-    """(group, field, record) of the record each field survives from, for groups of at least two records: the plain order
-    that truth discovery with its prior must give, for checks.
+    """(group, field, record) of the record each field survives from, for groups of at least two records, by the plain
+    order; truth discovery with its prior must give the same.
 
     ``order``: columns ascending, the best first. One aggregate with one ordered minimum per field.
     """
